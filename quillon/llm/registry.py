@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operators' modules."""
 
-from . import bpe, substring_dedup
+from . import bpe, substring_dedup, toxicity
 
-_MODULES = [substring_dedup, bpe]
+_MODULES = [substring_dedup, bpe, toxicity]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
