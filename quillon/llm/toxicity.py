@@ -40,10 +40,10 @@ from pyspark.sql import types as T
 from .common import documents
 from .words import slices
 
-SAMPLE_TOXIC = 1000
-SAMPLE_ORDINARY = 3000
+SAMPLE_TOXIC = 1500
+SAMPLE_ORDINARY = 4500
 TOXIC_BYTES = 4096
-SHARED_BYTES = 8192
+SHARED_BYTES = 16384
 CARRIER = b" of and the in that "
 CACHE_WINDOWS = 500_000
 #: A beginning of a window is typical of toxic text if chance gives it so many neighbourhoods there less often than this.
@@ -180,8 +180,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def train(texts: list[tuple[str, int]]) -> Model:
-    """texts: (text, label) in a fixed order. Every second text trains dictionaries, the others calibrate."""
-    fit, rest = texts[::2], texts[1::2] or texts[::2]
+    """texts: (text, label) in a fixed order. Of each class every third text calibrates, the others train dictionaries."""
+    sides = [[(t, y) for t, y in texts if bool(y) == side] for side in (True, False)]
+    fit = [x for side in sides for i, x in enumerate(side) if i % 3]
+    rest = [x for side in sides for x in side[::3]]
     toxic, ordinary = neighbourhoods([t for t, y in fit if y]), neighbourhoods([t for t, y in fit if not y])
     if not toxic or not ordinary:
         return Model(b" " * 8, b" " * 8, 1.0, ())
