@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operators' modules."""
 
-from . import bpe, near_dedup, substring_dedup, toxicity
+from . import bpe, decontamination, near_dedup, substring_dedup, toxicity
 
-_MODULES = [substring_dedup, near_dedup, bpe, toxicity]
+_MODULES = [substring_dedup, decontamination, near_dedup, bpe, toxicity]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
