@@ -69,4 +69,4 @@ def ranges(df: DataFrame, key: str, text: str, target_bytes: int, least: int = 1
     bounds = F.from_json(F.lit(json.dumps(inside)), "array<array<bigint>>")
     cell = F.least(F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(_CELLS - 1))
     k = F.col(key).cast("bigint")
-    return F.coalesce(F.get(base, cell) + F.size(F.filter(F.get(bounds, cell), lambda b: b <= k)), F.lit(0)).cast("int")
+    return F.when(F.col(key).isNull(), 0).otherwise(F.get(base, cell) + F.size(F.filter(F.get(bounds, cell), lambda b: b <= k))).cast("int")
