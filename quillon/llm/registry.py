@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operators' modules."""
 
-from . import bpe, decontamination, near_dedup, substring_dedup, token_files, toxicity
+from . import bpe, decontamination, near_dedup, substring_dedup, token_files, toxicity, url_filter
 
-_MODULES = [substring_dedup, decontamination, near_dedup, bpe, toxicity, token_files]
+_MODULES = [substring_dedup, decontamination, near_dedup, bpe, toxicity, token_files, url_filter]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
