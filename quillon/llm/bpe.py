@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .pieces import Pieces
+from .pieces import Memory, Pieces
 from .words import slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Words remembered for each worker.
+CACHE_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,77 +49,84 @@ class MergeReplay:
     def __init__(self, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN):
         self.ranks = read_ranks(path)
         self.tokens = {i: b for b, i in self.ranks.items()}
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.first = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self.first_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+        # what each pair of tokens merges into, if that is a token
+        merged = {self.ranks[t[:k]] << 20 | self.ranks[t[k:]]: r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        self.pair_keys = np.array(sorted(merged))
+        self.pair_ranks = np.array([merged[k] for k in self.pair_keys.tolist()])
         # white space as the Unicode property, so that U+001C to U+001F do not count
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.pair_rank: dict[tuple[int, int], int] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(CACHE_WORDS)
         self.pieces = Pieces(self._pieces, self._whole)
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        ranks, tokens, known = self.ranks, self.tokens, self.pair_rank
-        sym: list[int] = []
-        begin = [0]
-        for w in words:
-            sym.extend(map(self.single.__getitem__, w))
-            begin.append(len(sym))
-        nxt, prv = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        for b in begin[1:]:
-            if b:
-                nxt[b - 1] = -1
-            if b < len(sym):
-                prv[b] = -1
-
-        def rank(a: int, b: int) -> int:
-            got = known.get((a, b))
-            if got is None:
-                got = known[a, b] = ranks.get(tokens[a] + tokens[b], -1)
-            return got
-
-        if len(known) > 2_000_000:
-            known.clear()
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(nxt):
-            if q > 0:
-                r = rank(sym[p], sym[q])
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair merges into; -1: nothing."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and where each word's ids end."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        n = len(raw)
+        sym = self.first[raw]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1] = -1
+        prv[ends[:-1]] = -1
+        at = np.flatnonzero(nxt >= 0)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(rank: np.ndarray, places: np.ndarray) -> None:
+            """Put places into the index under the ranks that their pairs merge into."""
+            order = np.argsort(rank, kind="stable")
+            rank, places = rank[order], places[order]
+            edge = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, group in zip(rank[np.append(0, edge)].tolist(), np.split(places, edge), strict=True):
                 if r >= 0:
-                    index.setdefault(r, []).append(p)
-        queue = list(index)
-        heapify(queue)
+                    if r in index:
+                        index[r].append(group)
+                    else:
+                        index[r] = [group]
+                        heappush(queue, r)
+
+        if len(at):
+            enter(self.first_pairs[raw[at], raw[at + 1]], at)
         while queue:
             r = heappop(queue)
-            for p in sorted(index.pop(r)):
-                a, q = sym[p], nxt[p]
-                if a < 0 or q < 0 or rank(a, sym[q]) != r:
-                    continue  # a neighbour has been merged away since
-                sym[p], sym[q] = r, -1
-                after = nxt[p] = nxt[q]
-                before = prv[p]
-                if after >= 0:
-                    prv[after] = p
-                    new = rank(r, sym[after])
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heappush(queue, new)
-                        index[new].append(p)
-                if before >= 0:
-                    new = rank(sym[before], r)
-                    if new >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heappush(queue, new)
-                        index[new].append(before)
-        return [[s for s in sym[a:b] if s >= 0] for a, b in zip(begin, begin[1:], strict=False)]
+            held = index.pop(r)
+            p = held[0] if len(held) == 1 else np.concatenate(held)
+            p = p[(sym[p] >= 0) & (nxt[p] >= 0)]
+            p = np.unique(p[self._rank(sym[p], sym[nxt[p]]) == r])  # a neighbour may have been merged away since
+            if not len(p):
+                continue
+            chained = np.zeros(len(p), bool)
+            chained[1:] = p[1:] == nxt[p[:-1]]
+            if chained.any():  # of overlapping pairs the first, the third and so on
+                i = np.arange(len(p))
+                p = p[(i - np.maximum.accumulate(np.where(chained, 0, i))) % 2 == 0]
+            q = nxt[p]
+            sym[p], sym[q] = r, -1
+            after, before = nxt[q], prv[p]
+            nxt[p] = after
+            right = after >= 0
+            prv[after[right]] = p[right]
+            left = before >= 0
+            places = np.concatenate((p[right], before[left]))
+            if len(places):
+                enter(self._rank(sym[places], sym[nxt[places]]), places)
+        alive = sym >= 0
+        return sym[alive], np.cumsum(alive)[ends - 1]
 
     def _of_words(self, found: list[list[str]]) -> list[bytes]:
         words = self.words
-        if len(words) > 400_000:
-            words.clear()
-        fresh = [w for w in set().union(*found) if w not in words]
-        for w, ids in zip(fresh, self.replay([w.encode() for w in fresh]), strict=True):
-            words[w] = np.array(ids, "<u4").tobytes()
+        fresh = words.missing(set().union(*found))
+        if fresh:
+            ids, ends = self.replay([w.encode() for w in fresh])
+            packed, end = ids.astype("<u4").tobytes(), (ends * 4).tolist()
+            words.update(zip(fresh, map(packed.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
         return [b"".join(map(words.__getitem__, f)) for f in found]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
@@ -132,6 +141,10 @@ class MergeReplay:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decimal_digest(self, ids: bytes) -> str:
+        """SHA-256 of the ids as decimal text."""
+        return hashlib.sha256(" ".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()).hexdigest()
+
 
 _MADE: dict[tuple[str, str], MergeReplay] = {}
 
@@ -161,23 +174,33 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """df (with ``_q_ids``) with ``_q_bytes``, the bytes the ids stand for, and ``_q_decimal``, the SHA-256 of the ids as decimal text."""
+    """df (with ``_q_ids``) with ``_q_bytes``, the bytes the ids stand for."""
 
     def run(batches):
         made = codec(vocabulary, pattern)
-        names = [str(i) for i in range(max(made.tokens) + 1)]
         for batch in batches:
             ids = [x or b"" for x in batch.column("_q_ids").to_pylist()]
             table = pa.Table.from_batches([batch])
-            decimal = [" ".join(map(names.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield from _append(table, _q_bytes=pa.array([made.decode(x) for x in ids], pa.binary()), _q_decimal=pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decimal])).to_batches()
+            yield from _append(table, _q_bytes=pa.array([made.decode(x) for x in ids], pa.binary())).to_batches()
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.BinaryType())]))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.BinaryType()), T.StructField("_q_decimal", T.StringType())]))
 
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Of each text's ids, and of the bytes they decode to, in one pass over the texts."""
 
-def digests(docs: DataFrame) -> DataFrame:
-    out = decode(encode(docs.select("doc_id", "text")).drop("text"))
-    return out.select("doc_id", (F.octet_length("_q_ids") / 4).cast("bigint").alias("n_tokens"), F.col("_q_decimal").alias("ids_sha256"), F.sha2("_q_bytes", 256).alias("decoded_sha256"))
+    def run(batches):
+        made = codec(vocabulary, pattern)
+        for table in slices(batches, SLICE_BYTES):
+            ids = made.encode([t or "" for t in table.column("text").to_pylist()])
+            yield pa.record_batch({
+                "doc_id": table.column("doc_id").combine_chunks(),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array([made.decimal_digest(x) for x in ids], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(made.decode(x)).hexdigest() for x in ids], pa.string()),
+            })
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A single space between two characters that are not white space always starts a
 new match of the byte-level pattern, so the ids of a text are the ids of its
 space-led pieces, one after the other. Most pieces of a corpus come again and
-again; each worker remembers their ids. The memory is only a cache: when full it
-is emptied, and texts that cannot be cut this way (runs of white space) are
-encoded whole.
+again; each worker remembers their ids. The memory is only a cache of two
+generations: a full one becomes the old one, from which what is still in use
+moves back. Texts that cannot be cut this way (runs of white space) are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -13,22 +14,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Pieces remembered for each worker.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
+
+
+class Memory(dict):
+    """A bounded memory of two generations."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit // 2, {}
+
+    def missing(self, keys: set) -> list:
+        """Make room, bring back what the old generation has, and return the keys that neither has."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        gone = [k for k in keys if k not in self]
+        self.update((k, self.old[k]) for k in gone if k in self.old)
+        return [k for k in gone if k not in self.old]
 
 
 class Pieces:
     """``encode(list of str) -> list of bytes`` with a memory; ``whole(str) -> bytes`` for texts that cannot be cut."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], limit: int = CACHE_PIECES):
-        self.encode, self.whole, self.limit = encode, whole, limit
-        self.led: dict[str, bytes | None] = {}  # by the piece without its space; None: not a piece that can be cut out
+        self.encode, self.whole = encode, whole
+        self.led = Memory(limit)  # by the piece without its space; None: not a piece that can be cut out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         led = self.led
-        if len(led) > self.limit:
-            led.clear()
-        fresh = [p for p in set().union(*(c[1:] for c in cut)) if p not in led]
+        fresh = led.missing(set().union(*(c[1:] for c in cut)))
         fine = [p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()]
         led.update(dict.fromkeys(fresh))
         led.update(zip(fine, self.encode([f" {p}" for p in fine]), strict=True))

@@ -44,3 +44,9 @@ def test_query_shape(spark):
     for i, t in enumerate(TEXTS):
         assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_encode_and_decode_columns(spark):
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
+    out = bpe.decode(bpe.encode(docs)).collect()
+    assert [bytes(r["_q_bytes"]).decode() for r in out] == [r["text"] or "" for r in out]
