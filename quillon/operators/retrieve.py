@@ -78,11 +78,16 @@ def threshold(df: DataFrame, score: str, least: float | None, floor: int, by: li
     return marked.where(F.when(F.col("_n") >= floor, passed).otherwise(F.col("_i") <= max(floor, 1))).drop("_n", "_i")
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two arrays without repeats; of two empty ones 0."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
+    return F.when(every > 0, both / every).otherwise(0.0)
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """The default pair score: Jaccard similarity of the two term sets."""
-    a, b = tx.terms(query), tx.terms(text)
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(F.array_union(a, b)) > 0, both / F.size(F.array_union(a, b))).otherwise(0.0)
+    return jaccard(tx.terms(query), tx.terms(text))
 
 
 def rerank(df: DataFrame, pair_score, top: int, by: list[str], previous: list[Column], cap: int | None = None) -> DataFrame:

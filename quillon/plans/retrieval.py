@@ -123,9 +123,9 @@ g AS (SELECT *, least(1.0, greatest(0.0, least(keys * 0.12, 0.36) + least(names
 def pairs(spark, sf):
     """A few anchors against a capped pool, both bounded by the request; the pool travels to the anchors."""
     c = corpus(spark, sf)
-    anchors = c.where("country = 'en' and chunk_id < 60").select(F.col("chunk_id").alias("anchor"), F.col("text").alias("query"))
-    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", "text")
-    x = anchors.join(F.broadcast(pool), F.lit(True)).withColumn("re_score", retrieve.overlap_score(F.col("query"), F.col("text")))
+    anchors = c.where("country = 'en' and chunk_id < 60").select(F.col("chunk_id").alias("anchor"), tx.terms(F.col("text")).alias("a"))
+    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", tx.terms(F.col("text")).alias("p"))
+    x = anchors.join(F.broadcast(pool), F.lit(True)).withColumn("re_score", retrieve.jaccard(F.col("a"), F.col("p"))).drop("a", "p")  # terms once for each text
     both = F.col("anchor") + F.col("chunk_id")
     g = match.graph_score(both % 4, (F.col("anchor") * F.col("chunk_id")) % 5, both % 7 == 0, F.col("chunk_id") % 3 == 0, F.col("country") == "fr", F.col("anchor") % 20 == F.col("chunk_id") % 20)
     return x.withColumn("graph_score", g)
