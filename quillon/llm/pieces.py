@@ -14,7 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Pieces remembered for each worker.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
+#: Marks that end a piece as a match of their own.
+TAIL = ".,;:!?)"
+_PLAIN = "\u0250"
 
 
 class Memory(dict):
@@ -24,11 +27,13 @@ class Memory(dict):
         super().__init__()
         self.limit, self.old = limit // 2, {}
 
-    def missing(self, keys: set) -> list:
-        """Make room, bring back what the old generation has, and return the keys that neither has."""
+    def make_room(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+    def missing(self, keys: set) -> list:
+        """Bring back what the old generation has, and return the keys that neither has."""
         gone = [k for k in keys if k not in self]
         self.update((k, self.old[k]) for k in gone if k in self.old)
         return [k for k in gone if k not in self.old]
@@ -37,17 +42,45 @@ class Memory(dict):
 class Pieces:
     """``encode(list of str) -> list of bytes`` with a memory; ``whole(str) -> bytes`` for texts that cannot be cut."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], limit: int = CACHE_PIECES):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], words: Callable[[list[str]], list[bytes]] | None = None, limit: int = CACHE_PIECES):
+        """words: ids of space-led words of plain letters, given without their spaces."""
         self.encode, self.whole = encode, whole
+        self.words = words or (lambda cores: encode([f" {c}" for c in cores]))
         self.led = Memory(limit)  # by the piece without its space; None: not a piece that can be cut out
+        self.cores = Memory(limit)
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _led(self, pieces: list[str]) -> list[bytes]:
+        """Ids of space-led pieces. A word of plain letters and the marks after it are two matches, so words are encoded once."""
+        cut, letters = [], set()
+        for p in pieces:
+            core = p.rstrip(TAIL)
+            if core.isalpha() and (core.isascii() or max(core) < _PLAIN):
+                letters.add(core)
+                cut.append((core, p[len(core) :]))
+            else:
+                cut.append((p, ""))
+        cores, tails = self.cores, self.tails
+        plain = cores.missing(letters)
+        cores.update(zip(plain, self.words(plain), strict=True))
+        other = cores.missing({c for c, _ in cut if c not in letters})
+        cores.update(zip(other, self.encode([f" {c}" for c in other]), strict=True))
+        new = list({t for _, t in cut if t not in tails})
+        if len(tails) > 100_000:
+            tails.clear()
+            new = list({t for _, t in cut})
+        tails.update(zip(new, self.encode(new), strict=True))
+        return [cores[c] + tails[t] for c, t in cut]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         led = self.led
+        led.make_room()
+        self.cores.make_room()
         fresh = led.missing(set().union(*(c[1:] for c in cut)))
         fine = [p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()]
         led.update(dict.fromkeys(fresh))
-        led.update(zip(fine, self.encode([f" {p}" for p in fine]), strict=True))
+        led.update(zip(fine, self._led(fine), strict=True))
         firsts = list({c[0] for c in cut if c[0] and not c[0][-1].isspace()})
         first = dict(zip(firsts, self.encode(firsts), strict=True))
         out = []

@@ -51,10 +51,26 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.pieces = Pieces(self._encode, lambda t: self._encode([t])[0])
+        space = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with a space, which byte-level BPE writes as this letter
+        space[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.space = space
+        self.pieces = Pieces(self._encode, lambda t: self._encode([t])[0], self._words)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # ids alone, without offsets
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of space-led words, encoded as running text and cut where an id begins with a space."""
+        out: list[bytes] = []
+        runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for run, made in zip(runs, self.library.encode_batch_fast(["".join([f" {w}" for w in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            edge = np.flatnonzero(self.space[ids]) * 4
+            packed, edges = ids.tobytes(), [*edge.tolist(), 4 * len(ids)]
+            parts = [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+            out += parts if len(parts) == len(run) else self._encode([f" {w}" for w in run])
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         return self.pieces.texts(texts)
@@ -95,11 +111,12 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def write_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     flat = np.frombuffer(b"".join(ids), "<u4")
-    found, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -count))  # commonest first
-    rank = np.empty(len(found), np.uint32)
-    rank[order] = np.arange(len(found))
-    control, data = pack_values(rank[at])
+    count = np.bincount(flat)  # as long as the vocabulary
+    found = np.flatnonzero(count)
+    order = np.lexsort((found, -count[found]))  # commonest first
+    rank = np.zeros(len(count), np.uint32)
+    rank[found[order]] = np.arange(len(found))
+    control, data = pack_values(rank[flat])
     head = _MAGIC + struct.pack("<IIQ", len(ids), len(found), len(flat))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array([len(x) // 4 for x in ids], "<u4").tobytes(), found[order].astype("<u4").tobytes(), control, data])
