@@ -122,6 +122,7 @@ class MergeReplay:
 
     def _of_words(self, found: list[list[str]]) -> list[bytes]:
         words = self.words
+        words.make_room()
         fresh = words.missing(set().union(*found))
         if fresh:
             ids, ends = self.replay([w.encode() for w in fresh])
