@@ -12,8 +12,8 @@
    only, the member that has most company over all of its bands (the original of a
    family of edited copies shares a bucket with nearly every copy, while two copies
    may differ too much). Members that the hub does not confirm form the bucket anew
-   with another hub, until a round confirms nothing; and each member is also held
-   against a second hub. Buckets are only ever counted and reduced, never gathered.
+   with another hub, until a round confirms nothing. Buckets are only ever counted
+   and reduced, never gathered.
 4. *Verification.* A pair is a link if 100 * intersection >= 80 * union of the full
    sets, computed from the texts of the two documents.
 5. *Grouping.* Union-find over links by alternating rounds in which every node
@@ -46,7 +46,7 @@ ROWS = 4
 NEED, OF = 80, 100
 #: Pairs that agree in fewer slots than this are not verified; at the needed similarity that has a chance under 1e-9.
 AGREE = int(SLOTS * 0.8 - 6.2 * (SLOTS * 0.8 * 0.2) ** 0.5)
-ROUNDS = 6
+ROUNDS = 12
 U = np.uint64
 
 
@@ -124,24 +124,21 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
 def _verify(batches):
     for batch in batches:
-        keys_a, n_a = shingle_sets(batch.column("text_a"))
-        keys_b, n_b = shingle_sets(batch.column("text_b"))
+        sig_a, sig_b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
+        near = (sig_a == sig_b).sum(axis=1) >= AGREE
+        good = np.zeros(len(near), bool)
+        some = batch.filter(pa.array(near))
+        keys_a, n_a = shingle_sets(some.column("text_a"))
+        keys_b, n_b = shingle_sets(some.column("text_b"))
         # equal keys of one pair are neighbours after sorting by pair and key
         pair = np.concatenate((np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)))
         keys = np.concatenate((keys_a, keys_b))
         order = np.lexsort((keys, pair))
         keys, pair = keys[order], pair[order]
         both = np.bincount(pair[1:][(keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n_a))
-        good = OF * both >= NEED * (n_a + n_b - both)
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(good & (both > 0))})
-
-
-def _agreeing(batches):
-    for batch in batches:
-        a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint8).reshape(-1, SLOTS)
-        keep = pa.array((a == b).sum(axis=1) >= AGREE)
-        yield pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
+        good[near] = (OF * both >= NEED * (n_a + n_b - both)) & (both > 0)
+        kept = pa.array(good)
+        yield pa.record_batch({"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)})
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -149,44 +146,38 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     reps: id, sig, bands; docs: _q_id, _q_text, one row for each representative.
     """
-    spark = reps.sparkSession
     member = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = written(member.join(shared, "bucket"), "buckets")  # only buckets with company
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
-    open_ = written(member.select("bucket", "id").join(weight, "id"), "members")
-    sig = reps.select("id", "sig")
-    involved = docs.join(open_.select(F.col("id").alias("_q_id")).distinct(), "_q_id", "left_semi")
-    texts = written(involved.select(F.col("_q_id").alias("id"), F.col("_q_text").alias("text")), "texts")
+    open_ = member.select("bucket", "id").join(weight, "id")
+    text = docs.select(F.col("_q_id").alias("id"), F.col("_q_text").alias("text"))
+    side = written(reps.select("id", "sig").join(weight.select("id"), "id").join(text, "id"), "texts")
     found: list[DataFrame] = []
-    tried: DataFrame | None = None
-    trash = [member, open_, texts]
+    trash = [member, side]
     for _ in range(ROUNDS):
-        top = F.struct("weight", (-F.col("id")).alias("low"))
-        hubs = open_.groupBy("bucket").agg(F.max(top).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", (-F.col("hub.low")).alias("hub"))
-        against = open_.join(hubs, "bucket").where("id <> hub")
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", (-F.col("hub.low")).alias("hub"))
+        against = written(open_.join(hubs, "bucket").where("id <> hub"), "stars")
         pairs = against.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        near = near.mapInArrow(_agreeing, "a bigint, b bigint")
-        held = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        checked = written(held.mapInArrow(_verify, "a bigint, b bigint, linked boolean"), "pairs")
-        trash.append(checked)
-        good = checked.where("linked")
-        found.append(good.select("a", "b"))
-        tried = checked if tried is None else tried.unionByName(checked)
-        linked = tried.where("linked").select(F.col("a").alias("id"), F.col("b").alias("hub"))
-        # a bucket goes on without its hub and without what this hub, or any hub before, has taken
-        rest = against.join(linked, ["id", "hub"], "left_anti").select("bucket", "id", "weight")
-        open_ = written(rest, "members")
-        trash.append(open_)
-        if good.isEmpty() or open_.isEmpty():
+        sides = [side.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab"]
+        good = written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify, "a bigint, b bigint"), "pairs")
+        trash += [against, good]
+        if good.isEmpty():
             break
-    out = found[0]
-    for more in found[1:]:
+        found.append(good)
+        # a bucket whose members and hub are all known to be connected is done
+        label = good.groupBy("a").agg(F.min("b").alias("label"))
+        label = label.join(label.select(F.col("a").alias("label"), F.col("label").alias("next")), "label", "left").select(F.col("a").alias("id"), F.least("label", "next").alias("label"))
+        of_hub = label.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+        known = against.join(label, "id", "left").join(of_hub, "hub", "left").select("bucket", F.coalesce("label", "id").alias("x"), F.coalesce("hub_label", "hub").alias("y"))
+        apart = known.groupBy("bucket").agg(F.min(F.least("x", "y")).alias("low"), F.max(F.greatest("x", "y")).alias("high")).where("low <> high").select("bucket")
+        # the others go on without their hub and without what this hub has taken
+        taken = good.select(F.col("a").alias("id"), F.col("b").alias("hub")).distinct()
+        open_ = against.join(apart, "bucket", "left_semi").join(taken, ["id", "hub"], "left_anti").select("bucket", "id", "weight")
+    out = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for more in found:
         out = out.unionByName(more)
-    out = written(out.distinct(), "links")
+    out = written(out, "links")
     for t in trash:
         forget(t)
     return out
@@ -195,38 +186,39 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node of the edges (a, b) reaches.
 
-    Large star and small star in turn until nothing changes: log2 rounds, and no
+    Large star and small star in turn until nothing changes: few rounds, and no
     node's neighbours are ever gathered, as only the smallest of them is needed.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = written(small, "edges")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
         forget(edges)
         edges = after
-        if same:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        seen = now
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """_q_id, n_shingles and component_id for every row of docs."""
     base = written(signatures(docs, id_column, text), "signatures")
     sets = base.where("n > 0 and id is not null")
-    classes = sets.groupBy("set1", "set2", "n").agg(F.min("id").alias("rep"))
+    classes = written(sets.groupBy("set1", "set2", "n").agg(F.min("id").alias("rep"), F.min_by(F.struct("sig", "bands"), "id").alias("of")), "classes")
+    member = written(sets.select("id", "set1", "set2", "n").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("id", "rep").distinct(), "members")
     # rows of one doc_id may have different sets: they link their classes
-    twice = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    member = sets.select("id", "set1", "set2", "n").join(classes, ["set1", "set2", "n"]).select("id", "rep")
-    reps = sets.join(classes.select(F.col("rep").alias("id"), "set1", "set2", "n"), ["id", "set1", "set2", "n"]).dropDuplicates(["id", "set1", "set2"]).select("id", "sig", "bands")
+    twice = member.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
+    reps = classes.select(F.col("rep").alias("id"), "of.sig", "of.bands")
     slim = docs.select(F.col(id_column).cast("bigint").alias("_q_id"), F.col(text).alias("_q_text")).where("_q_id is not null and _q_text is not null")
     edges = links(slim, reps).unionByName(member.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     group = components(edges)
-    member = member.distinct().join(group.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    label = member.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    label = member.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = base.select(F.col("id").alias("_q_id"), F.col("n").alias("n_shingles")).join(label.withColumnRenamed("id", "_q_id"), "_q_id", "left")
     return out.select("_q_id", "n_shingles", F.coalesce("component", "_q_id").alias("component_id"))
 
