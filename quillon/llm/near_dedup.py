@@ -8,12 +8,15 @@
 2. *Classes.* Documents with the same set are one class, known by its smallest
    doc_id; only that representative goes on. Copies need no pairs.
 3. *Banding.* Representatives that agree in all ``ROWS`` slots of a band share a
-   bucket. A bucket is a star, not a clique: its members are held against its hub
-   only, the member that has most company over all of its bands (the original of a
-   family of edited copies shares a bucket with nearly every copy, while two copies
-   may differ too much). Members that the hub does not confirm form the bucket anew
-   with another hub, until a round confirms nothing. Buckets are only ever counted
-   and reduced, never gathered.
+   bucket. A bucket starts as a star: its members are held against its hub, the
+   member that has most company over all of its bands (the original of a family of
+   edited copies shares a bucket with nearly every copy). A bucket whose other
+   members the links found so far do not connect is open: every pair of it between
+   two components is a candidate, so no bucket is left before it is proven
+   connected or all such pairs are verified. Pairs are formed cell by cell, two
+   blocks of at most ``BLOCK`` members each; blocks of one component form no cell.
+   Candidates are verified in rounds, the best ones of each component first, as
+   pairs that a round has connected need no verification any more.
 4. *Verification.* A pair is a link if 100 * intersection >= 80 * union of the full
    sets, computed from the texts of the two documents.
 5. *Grouping.* Union-find over links by alternating rounds in which every node
@@ -33,7 +36,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +49,10 @@ ROWS = 4
 NEED, OF = 80, 100
 #: Pairs that agree in fewer slots than this are not verified; at the needed similarity that has a chance under 1e-9.
 AGREE = int(SLOTS * 0.8 - 6.2 * (SLOTS * 0.8 * 0.2) ** 0.5)
-ROUNDS = 12
+#: Members of a bucket that meet in one cell, from each of two blocks.
+BLOCK = 512
+#: Candidates of a component in the first round of verification, and the growth of that number by round.
+BEST, MORE = 4, 8
 U = np.uint64
 
 
@@ -141,41 +147,108 @@ def _verify(batches):
         yield pa.record_batch({"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)})
 
 
+def _cell(rows: pa.Table, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs between components of the rows lo to hi, one cell: a, b and the slots in which they agree."""
+    side, ids, label, n = (rows.column(c).to_numpy()[lo:hi] for c in ("side", "id", "label", "n"))
+    sig = np.frombuffer(b"".join(rows.column("sig").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(-1, SLOTS)
+    left = np.flatnonzero(side != 1)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    a, b, agree = [], [], []
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        same = np.count_nonzero(sig[x][:, None] == sig[right][None], axis=2)
+        fits = (same >= AGREE) & (label[x][:, None] != label[right][None])
+        fits &= OF * np.minimum(n[x][:, None], n[right][None]) >= NEED * np.maximum(n[x][:, None], n[right][None])
+        i, j = np.nonzero(fits)
+        a.append(np.minimum(ids[x[i]], ids[right[j]]))
+        b.append(np.maximum(ids[x[i]], ids[right[j]]))
+        agree.append(same[i, j])
+    return (np.concatenate(a), np.concatenate(b), np.concatenate(agree)) if a else (ids[:0], ids[:0], n[:0])
+
+
+def _cells(batches):
+    """Candidates of the cells; rows come sorted by cell."""
+
+    def pairs(rows, cuts):
+        made = [_cell(rows, lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1]
+        if made:
+            a, b, agree = (np.concatenate(c) for c in zip(*made, strict=True))
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agree": pa.array(agree, pa.int32())})
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        cell = rows.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist()]
+        yield from pairs(rows, cuts)
+        held = rows.slice(cuts[-1])
+    if held is not None:
+        yield from pairs(held, [0, len(held)])
+
+
+def _candidates(open_: DataFrame, side: DataFrame) -> DataFrame:
+    """(a, b, agree): all pairs of members (bucket, id, label) of one bucket with different labels that may be similar."""
+    block = ((F.row_number().over(Window.partitionBy("bucket").orderBy("label", "id")) - 1) / BLOCK).cast("int")
+    placed = written(open_.withColumn("block", block), "blocks")
+    blocks = placed.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    i, j = (blocks.select("bucket", F.col("block").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")) for c in "ij")
+    cells = i.join(j, "bucket").where("i <= j and least(low_i, low_j) <> greatest(high_i, high_j)")
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))
+    cells = cells.select("bucket", F.xxhash64("bucket", "i", "j").alias("cell"), F.explode(ends).alias("e")).select("bucket", "cell", "e.block", "e.side")
+    rows = cells.join(placed, ["bucket", "block"]).join(side.select("id", "n", "sig"), "id").select("cell", "side", "id", "label", "n", "sig")
+    pairs = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "a bigint, b bigint, agree int")
+    out = written(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    forget(placed)
+    return out
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that connect whatever is connected among the representatives.
 
-    reps: id, sig, bands; docs: _q_id, _q_text, one row for each representative.
+    reps: id, n, sig, bands; docs: _q_id, _q_text, one row for each representative.
     """
     member = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = written(member.join(shared, "bucket"), "buckets")  # only buckets with company
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
-    open_ = member.select("bucket", "id").join(weight, "id")
     text = docs.select(F.col("_q_id").alias("id"), F.col("_q_text").alias("text"))
-    side = written(reps.select("id", "sig").join(weight.select("id"), "id").join(text, "id"), "texts")
-    found: list[DataFrame] = []
-    trash = [member, side]
-    for _ in range(ROUNDS):
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", (-F.col("hub.low")).alias("hub"))
-        against = written(open_.join(hubs, "bucket").where("id <> hub"), "stars")
-        pairs = against.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        sides = [side.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab"]
-        good = written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify, "a bigint, b bigint"), "pairs")
-        trash += [against, good]
-        if good.isEmpty():
-            break
+    side = written(reps.select("id", "n", "sig").join(weight.select("id"), "id").join(text, "id"), "texts")
+    sides = [side.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify, "a bigint, b bigint").distinct(), "pairs")
+
+    member = member.select("bucket", "id").join(weight, "id")
+    hubs = member.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("hub")).select("bucket", (-F.col("hub.low")).alias("hub"))
+    against = written(member.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"), "stars")
+    good = verified(against.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    found, trash = [good], [side, against, good]
+    # the hub is done; a bucket whose other members are all known to be connected is done, too
+    label = written(components(good), "labels")
+    open_ = against.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    apart = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rest = _candidates(open_.join(apart, "bucket", "left_semi"), side)
+    trash += [label, rest]
+    best = BEST
+    names = [label.select(F.col("id").alias(c), F.col("component").alias(f"label_{c}")) for c in "ab"]
+    rest = rest.join(names[0], "a", "left").join(names[1], "b", "left").select("a", "b", "agree", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
+    while not rest.isEmpty():
+        both = rest.select("*", F.explode(F.array("x", "y")).alias("of"))
+        place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("agree"), "a", "b"))
+        ranked = written(both.withColumn("place", place).groupBy("a", "b", "agree", "x", "y").agg(F.min("place").alias("place")), "ranked")
+        good = verified(ranked.where(F.col("place") <= best).select("a", "b"))
+        trash += [ranked, good]
         found.append(good)
-        # a bucket whose members and hub are all known to be connected is done
-        label = good.groupBy("a").agg(F.min("b").alias("label"))
-        label = label.join(label.select(F.col("a").alias("label"), F.col("label").alias("next")), "label", "left").select(F.col("a").alias("id"), F.least("label", "next").alias("label"))
-        of_hub = label.select(F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-        known = against.join(label, "id", "left").join(of_hub, "hub", "left").select("bucket", F.coalesce("label", "id").alias("x"), F.coalesce("hub_label", "hub").alias("y"))
-        apart = known.groupBy("bucket").agg(F.min(F.least("x", "y")).alias("low"), F.max(F.greatest("x", "y")).alias("high")).where("low <> high").select("bucket")
-        # the others go on without their hub and without what this hub has taken
-        taken = good.select(F.col("a").alias("id"), F.col("b").alias("hub")).distinct()
-        open_ = against.join(apart, "bucket", "left_semi").join(taken, ["id", "hub"], "left_anti").select("bucket", "id", "weight")
-    out = reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for more in found:
+        joined = ranked.join(good, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        label = written(components(joined), "labels")
+        trash.append(label)
+        names = [label.select(F.col("id").alias(c), F.col("component").alias(f"label_{c}")) for c in "xy"]
+        rest = ranked.where(F.col("place") > best).join(names[0], "x", "left").join(names[1], "y", "left")
+        rest = rest.select("a", "b", "agree", F.coalesce("label_x", "x").alias("x"), F.coalesce("label_y", "y").alias("y")).where("x <> y")
+        best *= MORE
+    out = found[0]
+    for more in found[1:]:
         out = out.unionByName(more)
     out = written(out, "links")
     for t in trash:
@@ -214,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     member = written(sets.select("id", "set1", "set2", "n").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("id", "rep").distinct(), "members")
     # rows of one doc_id may have different sets: they link their classes
     twice = member.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
-    reps = classes.select(F.col("rep").alias("id"), "of.sig", "of.bands")
+    reps = classes.select(F.col("rep").alias("id"), "n", "of.sig", "of.bands")
     slim = docs.select(F.col(id_column).cast("bigint").alias("_q_id"), F.col(text).alias("_q_text")).where("_q_id is not null and _q_text is not null")
     edges = links(slim, reps).unionByName(member.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     group = components(edges)
