@@ -11,6 +11,9 @@ numbers or names is caught, and a chance hit of a few words is not.
 
 Every text is read twice, with names as placeholders and with names as words, so
 that a passage is found whatever sentence it was pasted into.
+A window of fewer than three words outside of placeholders grows, forwards and
+backwards, until it has three, and it also counts, ungrown, if all of its values are
+the same. So every window of an item can be covered by the item's own copy.
 
 Only windows whose hash passes a bit map of the benchmark's windows (2**22 bits,
 whatever the benchmark's size) leave a task; the join then decides exactly. The
@@ -19,8 +22,8 @@ benchmark's side is broadcast only while its counted rows are under
 
 Defined cases: null and empty texts match nothing; an item of fewer tokens than a
 window is one window of its own length if it has ``LEAST`` tokens, and is too
-short to be evidence below that; a window of fewer than three words outside of
-placeholders is no evidence; repeated rows are judged alike, by the union of their
+short to be evidence below that, and if it has too few words outside of placeholders
+only its exact copy is evidence; repeated rows are judged alike, by the union of their
 windows; a null doc_id is kept and never judged; extra columns are passed through.
 """
 
@@ -47,6 +50,8 @@ U = np.uint64
 #: Units that a number before them turns into a placeholder.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l kb mb gb tb s sec min h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp mph kmh"
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Readings: names as words, names within sentences as placeholders, all values as words.
+READINGS = WORDS, NAMES, EXACT = 0, 1, 2
 _HOLDERS = mix(np.arange(1, 4, dtype=U) + U(0x51ED270B))
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -88,31 +93,60 @@ class Templates:
         lead = data[self.begin] if len(kept) else data[:0]
         second = data[np.minimum(self.begin + 1, max(len(data) - 1, 0))] if len(kept) else data[:0]
         capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-        self.type = np.where(number, NUMBER, np.where(capital & ~after_stop[kept], NAME, WORD)).astype(np.int8)
+        kind = np.where(number, NUMBER, np.where(capital & ~after_stop[kept], NAME, WORD)).astype(np.int8)
         if len(kept):
             where = np.minimum(np.searchsorted(_UNIT_KEYS, key), len(_UNIT_KEYS) - 1)
             behind = np.zeros(len(kept), bool)
             behind[1:] = number[:-1]
             behind[self.first[:-1][self.first[:-1] < len(kept)]] = False
-            self.type[(_UNIT_KEYS[where] == key) & behind & ~number] = UNIT
+            kind[(_UNIT_KEYS[where] == key) & behind & ~number] = UNIT
         self.key = key
+        self.kinds = (np.where(kind == NAME, WORD, kind), kind, np.zeros(len(kind), np.int8))
+        self.rolls: dict[int, Rolling] = {}
 
-    def windows(self, n: int, names: bool, whole: bool = False):
-        """(hash, first token, text) of the windows of n tokens that are evidence; whole: of texts of exactly n tokens."""
-        kind = self.type if names else np.where(self.type == NAME, WORD, self.type)
-        key = np.where(kind > 0, _HOLDERS[np.maximum(kind, 1) - 1], self.key)
+    def windows(self, n: int, reading: int, whole: bool = False):
+        """(hash, place, text, first token, tokens) of the windows that stand for n tokens at a place; whole: of texts of exactly n tokens.
+
+        A window of too few words grows forwards, and another one backwards, until it has enough of them;
+        the EXACT reading holds just these windows, ungrown, with all of their values.
+        """
+        kind = self.kinds[reading]
         at, doc = window_starts(self.first, n)
         if whole:
             mine = np.diff(self.first)[doc] == n
             at, doc = at[mine], doc[mine]
-        plain = np.concatenate(([0], np.cumsum(kind == WORD)))
-        good = plain[at + n] - plain[at] >= min(_LITERALS, n)
-        at, doc = at[good], doc[good]
-        return mix(Rolling(key).at(at, n) ^ U(n)), at, doc
-
-    def slots(self, at: int, n: int, names: bool) -> list[str]:
+        word = np.flatnonzero((self.kinds[WORDS] if reading == EXACT else kind) == WORD)
+        plain = np.searchsorted(word, np.arange(len(kind) + 1))
+        low = plain[at + n] - plain[at] < min(_LITERALS, n)
+        if reading == EXACT:
+            lo, hi, kept = at[low], at[low] + n, np.flatnonzero(low)
+        else:
+            lo, hi, kept = at[~low], at[~low] + n, np.flatnonzero(~low)
+            if n == WINDOW and low.any() and len(word):
+                few = np.flatnonzero(low)
+                last = plain[at[few]] + _LITERALS - 1
+                end = word[np.minimum(last, len(word) - 1)] + 1
+                fits = (last < len(word)) & (end <= self.first[doc[few] + 1])
+                ahead, ends = few[fits], end[fits]
+                lead = plain[at[few] + n] - _LITERALS
+                start = word[np.maximum(lead, 0)]
+                fits = (lead >= 0) & (start >= self.first[doc[few]])
+                back, starts = few[fits], start[fits]
+                lo, hi, kept = np.concatenate((lo, at[ahead], starts)), np.concatenate((hi, ends, at[back] + n)), np.concatenate((kept, ahead, back))
+            if reading != WORDS:  # windows without a name of this reading are those of the reading before
+                other = np.concatenate(([0], np.cumsum(kind != self.kinds[reading - 1])))
+                new = other[hi] > other[lo]
+                lo, hi, kept = lo[new], hi[new], kept[new]
+        if not len(lo):
+            return np.zeros(0, U), at[:0], doc[:0], at[:0], at[:0]
+        if reading not in self.rolls:
+            self.rolls[reading] = Rolling(np.where(kind > 0, _HOLDERS[np.maximum(kind, 1) - 1], self.key))
+        size = hi - lo
+        return mix(self.rolls[reading].at(lo, size) ^ size.astype(U)), at[kept], doc[kept], lo, size
+
+    def slots(self, at: int, n: int, reading: int) -> list[str]:
         """What stands in the placeholders of a window, with their types."""
-        return [f"{t}:{bytes(self.data[self.begin[i] : self.end[i]]).decode(errors='replace')}" for i in range(at, at + n) if (t := int(self.type[i])) and (names or t != NAME)]
+        return [f"{t}:{bytes(self.data[self.begin[i] : self.end[i]]).decode(errors='replace')}" for i in range(at, at + n) if (t := int(self.kinds[reading][i]))]
 
 
 def _items(batches):
@@ -122,11 +156,11 @@ def _items(batches):
         rows = defaultdict(list)
         sizes = np.diff(made.first)
         for n in range(LEAST, WINDOW + 1):
-            for names in (True, False):
-                keys, at, doc = made.windows(n, names, whole=n < WINDOW)
-                for k, t, d in zip(keys.view(np.int64).tolist(), at.tolist(), doc.tolist(), strict=True):
+            for reading in READINGS:
+                keys, *of = made.windows(n, reading, whole=n < WINDOW)
+                for k, t, d, lo, size in zip(keys.view(np.int64).tolist(), *(x.tolist() for x in of), strict=True):
                     if ids[d] is not None:
-                        for name, value in (("hash", k), ("item_id", ids[d]), ("place", t - int(made.first[d])), ("total", max(1, int(sizes[d]) - WINDOW + 1)), ("item_slots", made.slots(t, n, names)), ("n", n)):
+                        for name, value in (("hash", k), ("item_id", ids[d]), ("place", t - int(made.first[d])), ("total", max(1, int(sizes[d]) - WINDOW + 1)), ("item_slots", made.slots(lo, size, reading)), ("n", n)):
                             rows[name].append(value)
         yield pa.record_batch({"hash": pa.array(rows["hash"], pa.int64()), "item_id": pa.array(rows["item_id"], pa.int64()), "place": pa.array(rows["place"], pa.int32()), "total": pa.array(rows["total"], pa.int32()), "n": pa.array(rows["n"], pa.int32()), "item_slots": pa.array(rows["item_slots"], pa.list_(pa.string()))})
 
@@ -143,13 +177,13 @@ def _hits(bitmap: bytes, lengths: list[int]):
             ids = table.column("_q_id").to_numpy()
             out = defaultdict(list)
             for n in lengths:
-                for names in (True, False):
-                    keys, at, doc = made.windows(n, names)
+                for reading in READINGS:
+                    keys, _, doc, lo, size = made.windows(n, reading)
                     a, b = _bits(keys)
                     hit = np.flatnonzero(bits[a] & bits[b])
                     out["hash"].append(keys[hit].view(np.int64))
                     out["doc"].append(ids[doc[hit]])
-                    out["slots"] += [made.slots(t, n, names) for t in at[hit].tolist()]
+                    out["slots"] += [made.slots(t, k, reading) for t, k in zip(lo[hit].tolist(), size[hit].tolist(), strict=True)]
             yield pa.record_batch({"hash": pa.array(np.concatenate(out["hash"])), "doc_id": pa.array(np.concatenate(out["doc"])), "doc_slots": pa.array(out["slots"], pa.list_(pa.string()))})
 
     return run

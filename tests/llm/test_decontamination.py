@@ -47,3 +47,18 @@ def test_plain_passages_against_brute_force(spark):
     want = {(d, i) for d, t in docs for i, x in items if sum(p in grams(t) for p in places(x)) >= 0.8 * len(places(x))}
     out = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == want
+
+
+def _found(spark, pairs):
+    """Which documents hold the item of their own number."""
+    noise = "zor vik lem dap."
+    d = spark.createDataFrame([(i, f"{noise} {t} {noise}") for i, (_, t) in enumerate(pairs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "item_id long, text string")
+    return [(r["doc_id"], r["coverage"]) for r in dc.matches(d, b).orderBy("doc_id").collect() if r["doc_id"] == r["item_id"]]
+
+
+def test_items_full_of_numbers(spark):
+    sums, rope = "What is 12 times 3 plus 5 minus 2?", "A rope of 12 m costs 3 dollars and 5 cents; 7 m cost 2 dollars. How much do 9 m cost?"
+    pairs = [(t, t) for t in (sums, rope, "Solve 12 + 30", "12 30 44 51 67 80 92")]
+    pairs += [(sums, "What is 41 times 6 plus 8 minus 7?"), (rope, "A rope of 15 m costs 4 dollars and 6 cents; 8 m cost 1 dollars. How much do 11 m cost?"), ("Solve 12 + 31", "Solve 13 + 37")]
+    assert _found(spark, pairs) == [(i, 1.0) for i in range(6)]
