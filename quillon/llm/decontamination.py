@@ -9,8 +9,9 @@ value of the document throughout. An item is in a document if consistent windows
 cover at least ``COVER`` of the item's windows, so the same question with other
 numbers or names is caught, and a chance hit of a few words is not.
 
-Every text is read twice, with names as placeholders and with names as words, so
-that a passage is found whatever sentence it was pasted into.
+Every text is read with names as words, with names within a sentence as
+placeholders, and with every capital as one, those that open a sentence too, so that
+a passage is found whatever sentence it was pasted into and wherever its names stand.
 A window of fewer than three words outside of placeholders grows, forwards and
 backwards, until it has three, and it also counts, ungrown, if all of its values are
 the same. So every window of an item can be covered by the item's own copy.
@@ -50,8 +51,8 @@ U = np.uint64
 #: Units that a number before them turns into a placeholder.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l kb mb gb tb s sec min h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp mph kmh"
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
-#: Readings: names as words, names within sentences as placeholders, all values as words.
-READINGS = WORDS, NAMES, EXACT = 0, 1, 2
+#: Readings: names as words, names within sentences as placeholders, those that open a sentence too, all values as words.
+READINGS = WORDS, NAMES, OPENINGS, EXACT = 0, 1, 2, 3
 _HOLDERS = mix(np.arange(1, 4, dtype=U) + U(0x51ED270B))
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -101,7 +102,8 @@ class Templates:
             behind[self.first[:-1][self.first[:-1] < len(kept)]] = False
             kind[(_UNIT_KEYS[where] == key) & behind & ~number] = UNIT
         self.key = key
-        self.kinds = (np.where(kind == NAME, WORD, kind), kind, np.zeros(len(kind), np.int8))
+        opening = capital & after_stop[kept] & (kind == WORD)
+        self.kinds = (np.where(kind == NAME, WORD, kind), kind, np.where(opening, NAME, kind).astype(np.int8), np.zeros(len(kind), np.int8))
         self.rolls: dict[int, Rolling] = {}
 
     def windows(self, n: int, reading: int, whole: bool = False):

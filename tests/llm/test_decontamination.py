@@ -62,3 +62,10 @@ def test_items_full_of_numbers(spark):
     pairs = [(t, t) for t in (sums, rope, "Solve 12 + 30", "12 30 44 51 67 80 92")]
     pairs += [(sums, "What is 41 times 6 plus 8 minus 7?"), (rope, "A rope of 15 m costs 4 dollars and 6 cents; 8 m cost 1 dollars. How much do 11 m cost?"), ("Solve 12 + 31", "Solve 13 + 37")]
     assert _found(spark, pairs) == [(i, 1.0) for i in range(6)]
+
+
+def test_names_that_open_sentences(spark):
+    has = "{} has {} apples. {} has {} apples. How many apples do they have in total?"
+    buys = "{0} buys {1} apples for {2} dollars each. {3} buys {4} pears for {5} dollars each. How much more does {0} spend than {3}?"
+    pairs = [(has.format("John", 5, "Mary", 3), has.format("Peter", 8, "Susan", 6)), (buys.format("John", 5, 2, "Mary", 3, 4), buys.format("Peter", 8, 7, "Susan", 6, 9))]
+    assert _found(spark, pairs) == [(0, 1.0), (1, 1.0)]
