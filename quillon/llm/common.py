@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def released(run):
+    """run, for mapInArrow, giving the memory that a task used back to the system when its rows are at an end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def forget(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     path = getattr(df, "_quillon_path", None)

@@ -93,3 +93,30 @@ def test_copies_of_a_lost_original(spark):
     assert 1 < len(set(want.values())) < len(rows)
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["_q_id"]: r["component_id"] for r in got} == want
+
+
+def test_crowded_bucket(spark):
+    """Pages around one boilerplate core, just under the threshold with each other, and planted pairs just above it."""
+    rng = random.Random(11)
+    core = [f"c{i}" for i in range(240)]
+    own = lambda: [f"o{rng.randrange(10**9)}" for _ in range(30)]
+    texts = [" ".join(core + own()) for _ in range(200)]
+    for _ in range(60):
+        mine = own()
+        texts += [" ".join(core + mine), " ".join(core + mine[:4] + own()[4:])]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert len(set(want.values())) == len(rows) - 60
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r["_q_id"]: r["component_id"] for r in got} == want
+
+
+def test_two_texts_of_one_document(spark):
+    """A document of two different texts links the copies of both; columns of internal names are passed through."""
+    rng = random.Random(12)
+    a, b = family(rng, 8, 2), family(rng, 8, 2)
+    rows = [(d, t) for d, t in enumerate(a + b)] + [(3, b[0]), (3, a[3])]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, _q_id string, component_id int")
+    got = {r["_q_id"]: r["component_id"] for r in nd.near_duplicates(docs).collect()}
+    assert got == brute(rows)
+    assert nd.stage(spark, docs, "").columns == docs.columns
