@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, released, written
+from .common import documents, forget, released, small_batches, written
 from .words import LOWER, Rolling, mix, slices, spans, text_bytes, word_keys
 
 SHINGLE = 4
@@ -420,6 +420,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """_q_id, n_shingles and component_id for every row of docs."""
+    small_batches(docs.sparkSession)
     base = written(signatures(docs, id_column, text), "signatures")
     sets = base.where("n > 0 and id is not null")
     of = F.min_by(F.struct("sig", "bands", "packed"), "id").alias("of")
