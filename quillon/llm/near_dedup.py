@@ -333,11 +333,11 @@ def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, list[DataFrame]]
     """
     member = reps.select("id", "set1", F.posexplode("bands").alias("band", "value")).select("id", "set1", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
-    member = written(member.join(shared, "bucket"), "buckets")  # only buckets with company
+    member = written(member.join(shared.hint("merge"), "bucket"), "buckets")  # only buckets with company
     company = member.groupBy("id", "set1").agg(F.sum("company").alias("company"))
     side = written(reps.select("id", "set1", "n", "sig", "packed").join(company, ["id", "set1"]), "sides")
     text = docs.select(F.col("_q_id").alias("id"), (F.octet_length("_q_text") + 256).cast("bigint").alias("weight"), F.col("_q_text").alias("text"))
-    text = written(text.join(side.select("id").distinct(), "id", "left_semi"), "texts")
+    text = written(text.join(side.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     held = member.select("bucket", "band", "id", "set1").join(side.select("id", "set1", "company", "n", "sig"), ["id", "set1"])
     hub = F.max(F.struct("company", (-F.col("id")).alias("low"), "set1", F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))).alias("h")
     hubs = held.groupBy("bucket").agg(hub).select("bucket", (-F.col("h.low")).alias("hub"), F.col("h.set1").alias("hub_set"), "h.hub_n", "h.hub_sig")
@@ -425,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     sets = base.where("n > 0 and id is not null")
     of = F.min_by(F.struct("sig", "bands", "packed"), "id").alias("of")
     classes = written(sets.groupBy("set1", "set2", "n").agg(F.min("id").alias("rep"), of), "classes")
-    member = written(sets.select("id", "set1", "set2", "n").join(classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("id", "rep").distinct(), "members")
+    member = written(sets.select("id", "set1", "set2", "n").join(classes.select("set1", "set2", "n", "rep").hint("merge"), ["set1", "set2", "n"]).select("id", "rep").distinct(), "members")
     # rows of one doc_id may have different sets: they link their classes
     twice = member.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
     reps = classes.select(F.col("rep").alias("id"), "set1", "n", "of.sig", "of.bands", "of.packed")
@@ -433,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     found, trash = links(slim, reps)
     group = components(found.unionByName(member.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     label = member.join(group.select(F.col("id").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
-    out = base.select(F.col("id").alias("_q_id"), F.col("n").alias("n_shingles")).join(label.withColumnRenamed("id", "_q_id"), "_q_id", "left")
+    out = base.select(F.col("id").alias("_q_id"), F.col("n").alias("n_shingles")).join(label.withColumnRenamed("id", "_q_id").hint("merge"), "_q_id", "left")
     out = written(out.select("_q_id", "n_shingles", F.coalesce("component", "_q_id").alias("component_id")), "groups")
     for t in (base, classes, member, group, *trash):
         forget(t)
