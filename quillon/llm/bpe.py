@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of a run of documents are laid out once as linked lists of
-byte tokens, with an inverted index from the rank a neighbouring pair would merge
-into to the positions of such pairs. Ranks are taken in ascending order; all
-positions of a rank are merged together and only the touched neighbours enter
-the index anew. Within a word this is the order of the greedy merges: when a
-rank comes up, no pair of any word has a smaller one.
+The corpus's distinct pieces are gathered by a shuffle (see ``pieces``) and each is
+merged once. A bucket lays out its distinct words as linked lists of byte tokens,
+with an inverted index from the rank a neighbouring pair would merge into (a rank
+is one pair's) to the positions of such pairs. Ranks are taken in ascending order;
+all positions of a rank are merged together and only the touched neighbours enter
+the index anew. Within a word this is the order of the greedy merges: when a rank
+comes up, no pair of any word has a smaller one. The ids are joined back to the
+documents by ranges.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
-long texts are encoded whole (through their words); repeated rows give repeated
-rows; extra columns are passed through. Ids are stored as little-endian unsigned
-32-bit integers in one binary value per document.
+very long texts and words are encoded whole; repeated rows give repeated rows; ties
+do not occur, as ranks are distinct; an empty table gives no rows; extra columns are
+passed through (names ``_q_ids`` and ``_q_range`` are the operator's own). Ids are
+stored as little-endian unsigned 32-bit integers in one binary value per document.
 """
 
 from __future__ import annotations
@@ -19,23 +22,19 @@ import base64
 import hashlib
 from collections.abc import Callable
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
-from .pieces import Memory, Pieces
-from .words import slices
+from .common import documents, released, small_batches
+from .pieces import Answers, asked, assembled, cutter, matcher, ragged
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SLICE_BYTES = 4 << 20
-#: Words remembered for each worker.
-CACHE_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,10 +54,7 @@ class MergeReplay:
         merged = {self.ranks[t[:k]] << 20 | self.ranks[t[k:]]: r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self.pair_keys = np.array(sorted(merged))
         self.pair_ranks = np.array([merged[k] for k in self.pair_keys.tolist()])
-        # white space as the Unicode property, so that U+001C to U+001F do not count
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.words = Memory(CACHE_WORDS)
-        self.pieces = Pieces(self._pieces, self._whole)
+        self.matches, self.cut = matcher(pattern).findall, cutter(pattern)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair merges into; -1: nothing."""
@@ -120,24 +116,24 @@ class MergeReplay:
         alive = sym >= 0
         return sym[alive], np.cumsum(alive)[ends - 1]
 
-    def _of_words(self, found: list[list[str]]) -> list[bytes]:
-        words = self.words
-        words.make_room()
-        fresh = words.missing(set().union(*found))
-        if fresh:
-            ids, ends = self.replay([w.encode() for w in fresh])
-            packed, end = ids.astype("<u4").tobytes(), (ends * 4).tolist()
-            words.update(zip(fresh, map(packed.__getitem__, map(slice, [0, *end[:-1]], end)), strict=True))
-        return [b"".join(map(words.__getitem__, f)) for f in found]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return self._of_words([self.pattern.findall(p) for p in pieces])
-
-    def _whole(self, text: str) -> bytes:
-        return self._of_words([self.pattern.findall(text)])[0]
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and where each piece's ids end; a word of several pieces is merged once."""
+        found = [self.matches(p) for p in pieces]
+        words = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
+        ids, ends = self.replay([w.encode() for w in words])
+        of = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.int64)
+        lengths = np.diff(ends, prepend=0)
+        flat = ids[ragged((ends - lengths)[of], lengths[of])]
+        upto = np.append(0, np.cumsum(lengths[of]))
+        return flat, upto[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.pieces.texts(texts)
+        cut = [self.cut(t) for t in texts]
+        ids, ends = self.pieces([p for c in cut for p in c])
+        edge = np.append(0, ends)[np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))]
+        return [ids[i:j].astype("<u4").tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -157,21 +153,19 @@ def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> M
     return _MADE[path, pattern]
 
 
-def _append(table: pa.Table, **columns: pa.Array) -> pa.Table:
-    for name, values in columns.items():
-        table = table.append_column(name, values)
-    return table
+def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, key: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    dealt, answers = asked(docs, lambda: codec(vocabulary, pattern).pieces, text, key, pattern)
+    return assembled(dealt, answers, text, finish, schema, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
-    """docs with ``_q_ids``, the ids of each text."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with ``_q_ids``, the ids of each text; the key, a number, only deals documents to ranges."""
 
-    def run(batches):
-        for table in slices(batches, SLICE_BYTES, text):
-            texts = [t or "" for t in table.column(text).to_pylist()]
-            yield from _append(table, _q_ids=pa.array(codec(vocabulary, pattern).encode(texts), pa.binary())).to_batches()
+    def finish(rows: pa.Table, told: Answers, _: int) -> pa.Table:
+        return rows.append_column("_q_ids", pa.array([told.of(t) for t in rows.column(text).to_pylist()], pa.binary()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]))
+    return _encoded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]), vocabulary, pattern, text, key)
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -180,28 +174,27 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_to
     def run(batches):
         made = codec(vocabulary, pattern)
         for batch in batches:
-            ids = [x or b"" for x in batch.column("_q_ids").to_pylist()]
-            table = pa.Table.from_batches([batch])
-            yield from _append(table, _q_bytes=pa.array([made.decode(x) for x in ids], pa.binary())).to_batches()
+            held = pa.array([made.decode(x or b"") for x in batch.column("_q_ids").to_pylist()], pa.binary())
+            yield from pa.Table.from_batches([batch]).append_column("_q_bytes", held).to_batches()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.BinaryType())]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Of each text's ids, and of the bytes they decode to, in one pass over the texts."""
+    """Of each text's ids, and of the bytes they decode to."""
 
-    def run(batches):
+    def finish(rows: pa.Table, told: Answers, _: int) -> pa.Table:
         made = codec(vocabulary, pattern)
-        for table in slices(batches, SLICE_BYTES):
-            ids = made.encode([t or "" for t in table.column("text").to_pylist()])
-            yield pa.record_batch({
-                "doc_id": table.column("doc_id").combine_chunks(),
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": pa.array([made.decimal_digest(x) for x in ids], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(made.decode(x)).hexdigest() for x in ids], pa.string()),
-            })
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        n, ids, decoded = [], [], []
+        for t in rows.column("text").to_pylist():
+            found = told.of(t)
+            n.append(len(found) // 4)
+            ids.append(made.decimal_digest(found))
+            decoded.append(hashlib.sha256(made.decode(found)).hexdigest())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _encoded(slim, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", vocabulary, pattern, "text", "doc_id")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,97 +1,181 @@
-"""Cutting a text into pieces that tokenise independently, and a bounded memory of pieces seen.
-
-A single space between two characters that are not white space always starts a
-new match of the byte-level pattern, so the ids of a text are the ids of its
-space-led pieces, one after the other. Most pieces of a corpus come again and
-again; each worker remembers their ids. The memory is only a cache of two
-generations: a full one becomes the old one, from which what is still in use
-moves back. Texts that cannot be cut this way (runs of white space) are encoded
-whole.
+"""Encoding a corpus through its distinct pieces, each of which is encoded once in the whole corpus.
+
+A single space between two characters that are not white space always starts a new
+match of the byte-level pattern, so the ids of a text are the ids of its space-led
+pieces, one after the other; a text with other white space around a space is cut at
+every match of the pattern. Three steps:
+
+1. Every task cuts its texts and sends, for each range of documents, the distinct
+   pieces with their counts to buckets of pieces (one message for each range and
+   bucket that has any; a bucket is known by the piece's letters, so that a word
+   and the same word before a comma meet).
+2. A bucket encodes its distinct pieces at once and answers every range.
+3. Each range meets its answers and puts the ids of its texts together.
+
+Documents travel to their range as compressed runs of rows. No group is keyed by
+content: a piece in every document is one entry of each range's message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import freed, ranges, released
+from .words import slices
 
-#: Pieces remembered for each worker.
-CACHE_PIECES = 500_000
+RANGE_BYTES = 8 << 20
+BUCKET_BYTES = 48 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
-_PLAIN = "\u0250"
-
-
-class Memory(dict):
-    """A bounded memory of two generations."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit // 2, {}
-
-    def make_room(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def missing(self, keys: set) -> list:
-        """Bring back what the old generation has, and return the keys that neither has."""
-        gone = [k for k in keys if k not in self]
-        self.update((k, self.old[k]) for k in gone if k in self.old)
-        return [k for k in gone if k not in self.old]
-
-
-class Pieces:
-    """``encode(list of str) -> list of bytes`` with a memory; ``whole(str) -> bytes`` for texts that cannot be cut."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], words: Callable[[list[str]], list[bytes]] | None = None, limit: int = CACHE_PIECES):
-        """words: ids of space-led words of plain letters, given without their spaces."""
-        self.encode, self.whole = encode, whole
-        self.words = words or (lambda cores: encode([f" {c}" for c in cores]))
-        self.led = Memory(limit)  # by the piece without its space; None: not a piece that can be cut out
-        self.cores = Memory(limit)
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _led(self, pieces: list[str]) -> list[bytes]:
-        """Ids of space-led pieces. A word of plain letters and the marks after it are two matches, so words are encoded once."""
-        cut, letters = [], set()
-        for p in pieces:
-            core = p.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < _PLAIN):
-                letters.add(core)
-                cut.append((core, p[len(core) :]))
-            else:
-                cut.append((p, ""))
-        cores, tails = self.cores, self.tails
-        plain = cores.missing(letters)
-        cores.update(zip(plain, self.words(plain), strict=True))
-        other = cores.missing({c for c, _ in cut if c not in letters})
-        cores.update(zip(other, self.encode([f" {c}" for c in other]), strict=True))
-        new = list({t for _, t in cut if t not in tails})
-        if len(tails) > 100_000:
-            tails.clear()
-            new = list({t for _, t in cut})
-        tails.update(zip(new, self.encode(new), strict=True))
-        return [cores[c] + tails[t] for c, t in cut]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        led = self.led
-        led.make_room()
-        self.cores.make_room()
-        fresh = led.missing(set().union(*(c[1:] for c in cut)))
-        fine = [p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()]
-        led.update(dict.fromkeys(fresh))
-        led.update(zip(fine, self._led(fine), strict=True))
-        firsts = list({c[0] for c in cut if c[0] and not c[0][-1].isspace()})
-        first = dict(zip(firsts, self.encode(firsts), strict=True))
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if not t:
-                out.append(b"")
-                continue
-            try:
-                head = first[c[0]]
-                c[0] = ""
-                out.append(head + b"".join([led[p] for p in c[1:]]))
-            except (KeyError, TypeError):  # it holds runs of white space
-                out.append(self.whole(t))
-        return out
+_ODD = regex.compile(r" \s|\s |^ | $|\x00")
+_MORE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+
+
+def matcher(pattern: str = public_tokenizers.PATTERN) -> regex.Pattern:
+    """The pattern with white space as the Unicode property, so that U+001C to U+001F do not count."""
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
+def cutter(pattern: str = public_tokenizers.PATTERN) -> Callable[[str], list[str]]:
+    """A text's pieces; joined they are the text, and each has its ids whatever stands beside it."""
+    matches = matcher(pattern).findall
+
+    def cut(text: str) -> list[str]:
+        if _ODD.search(text):
+            return matches(text)
+        return text.replace(" ", "\0 ").split("\0") if text else []
+
+    return cut
+
+
+def pack_rows(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=_MORE) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(column) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in column])
+
+
+def _by_range(batches, text: str) -> Iterator[tuple[int, pa.Table]]:
+    for table in slices(batches, text=text):
+        of = table.column("_q_range").to_numpy()
+        for r in np.unique(of).tolist():
+            yield r, table.filter(pa.array(of == r)).drop_columns(["_q_range"])
+
+
+def _send_rows(text: str):
+    def run(batches):
+        for r, mine in _by_range(batches, text):
+            yield pa.record_batch({"part": pa.array([r], pa.int32()), "rows": pa.array([pack_rows(mine)], pa.binary())})
+
+    return run
+
+
+def _ask(text: str, buckets: int, pattern: str):
+    def run(batches):
+        cut = cutter(pattern)
+        for r, mine in _by_range(batches, text):
+            found: Counter = Counter()
+            for t in mine.column(text).to_pylist():
+                if t:
+                    found.update(cut(t))
+            pieces = list(found)
+            to = np.array([zlib.crc32(p.strip().rstrip(TAIL).encode()) % buckets for p in pieces], np.int64)
+            order = np.argsort(to, kind="stable")
+            edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
+            table = pa.table({"piece": pa.array(pieces, pa.large_string()), "n": pa.array(list(found.values()), pa.int64())}).take(pa.array(order))
+            to = to[order]
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                yield pa.record_batch({"bucket": pa.array([int(to[i])], pa.int32()), "part": pa.array([r], pa.int32()), "rows": pa.array([pack_rows(table.slice(i, j - i))], pa.binary())})
+
+    return run
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs of the given starts and lengths, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _encode(encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]):
+    def run(asked: pa.Table) -> pa.Table:
+        part = asked.column("part").to_numpy()
+        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in asked.column("rows")]
+        every = pa.chunked_array([t.column("piece").combine_chunks() if t.num_rows else pa.array([], pa.large_string()) for t in tables], pa.large_string()).combine_chunks().dictionary_encode()
+        if isinstance(every, pa.ChunkedArray):
+            every = every.combine_chunks()
+        at, count = every.indices.to_numpy(), np.concatenate([t.column("n").to_numpy() for t in tables])
+        pieces = every.dictionary
+        ids, ends = encoder()(pieces.to_pylist())
+        lengths = np.diff(ends, prepend=0)
+        starts = ends - lengths
+        # how often each id stands in the corpus
+        used = np.bincount(at, count, len(pieces))
+        total = np.bincount(ids, np.repeat(used, lengths)).astype(np.int64)
+        some = np.flatnonzero(total)
+        rows = [(-1, pack_rows(pa.table({"id": pa.array(some, pa.int64()), "n": pa.array(total[some])})))]
+        of = np.repeat(part, [t.num_rows for t in tables])
+        kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
+        for r in np.unique(part).tolist():
+            mine = np.unique(at[of == r])
+            size = lengths[mine]
+            flat = ids[ragged(starts[mine], size)].astype(kind)
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
+            rows.append((r, pack_rows(pa.table({"piece": pieces.take(pa.array(mine)), "ids": held}))))
+        return pa.table({"part": pa.array([r for r, _ in rows], pa.int32()), "rows": pa.array([b for _, b in rows], pa.binary())})
+
+    return freed(run)
+
+
+class Answers:
+    """The ids of a range's pieces, as packed 32-bit values."""
+
+    def __init__(self, column, pattern: str):
+        self.cut = cutter(pattern)
+        self.ids: dict[str, bytes] = {}
+        for b in column:
+            table = pa.ipc.open_stream(b.as_buffer()).read_all().combine_chunks()
+            held = table.column("ids").combine_chunks()
+            if isinstance(held, pa.ChunkedArray):
+                held = pa.concat_arrays(held.chunks) if held.num_chunks else pa.array([], held.type)
+            packed = held.flatten().to_numpy().astype("<u4").tobytes()
+            ends = (held.offsets.to_numpy().astype(np.int64) * 4).tolist()
+            self.ids.update(zip(table.column("piece").to_pylist(), map(packed.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.cut(text))) if text else b""
+
+
+def asked(docs: DataFrame, encoder, text: str, key: str, pattern: str = public_tokenizers.PATTERN, range_bytes: int = RANGE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(docs with _q_range, answers): answers (part, rows) hold a range's pieces with their ids; part -1 holds counts of ids.
+
+    encoder() gives a function that turns a list of pieces into all of their ids and the end of each piece's.
+    """
+    dealt = docs.withColumn("_q_range", ranges(docs, key, text, range_bytes))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+    buckets = int(max(16, -(-size // bucket_bytes)))
+    messages = dealt.select(text, "_q_range").mapInArrow(released(_ask(text, buckets, pattern)), "bucket int, part int, rows binary")
+    return dealt, messages.groupBy("bucket").applyInArrow(_encode(encoder), "part int, rows binary")
+
+
+def assembled(dealt: DataFrame, answers: DataFrame, text: str, finish: Callable[[pa.Table, Answers, int], pa.Table], schema, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """finish(rows of a range, its answers, its number) of every range."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        return finish(unpack_rows(rows.column("rows")), Answers(told.column("rows"), pattern), rows.column("part")[0].as_py())
+
+    sent = dealt.mapInArrow(released(_send_rows(text)), "part int, rows binary")
+    return sent.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(freed(run), schema)

@@ -1,20 +1,23 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding.
 
-Documents are dealt into ranges of doc_id, and each range becomes one block. A
-block ranks its ids by frequency and writes each rank in one to four bytes; the
-lengths stand apart, four to a control byte, so that a reader gets the lengths of
-four values from one look into a 256-row table and all values by array
-operations. Blocks are numbered in ascending order of doc_id and kept as rows
-(number, tokens, bytes) of Parquet files in the shared folder, a container that
-every file system Spark writes to can hold.
-
-Block layout, little-endian: ``QTF1``; u32 documents, u32 distinct ids, u64
-values; i64 doc_id of each document; u8 whether it is known; u32 values of each
-document; u32 id of each rank; control bytes; data bytes.
+The corpus's distinct pieces are encoded once (see ``pieces``), and their counts
+tell how often each id stands in the corpus. Ids are ranked by that, commonest
+first, once for all files. Documents are dealt into ranges of doc_id, and each range
+becomes one block of ranks in one to four bytes; the lengths stand apart, four to a
+control byte, so that a reader gets the lengths of four values from one look into a
+256-row table and all values by array operations. Blocks are numbered in ascending
+order of doc_id and kept as rows (block, tokens, bytes) of Parquet files in the
+shared folder, a container that every file system Spark writes to can hold; block
+-1 is the table of ids by rank, as long as the vocabulary at most.
+
+Block layout, little-endian: ``QTF2``; u32 documents, u64 values; i64 doc_id of each
+document; u8 whether it is known; u32 values of each document; control bytes; data
+bytes. Table layout: ``QTR2``; u32 id of each rank.
 
 Defined cases: null and empty texts hold the end id alone; rows of equal doc_id
-follow each other in the order of their texts; null doc_ids come first; extra
-columns are not written. An empty table gives no blocks.
+follow each other in the order of their texts; null doc_ids come first, in blocks of
+their own; ids of equal counts rank by number; very long texts are encoded whole;
+extra columns are not written. An empty table gives no blocks but the table of ids.
 """
 
 from __future__ import annotations
@@ -23,27 +26,29 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ranges, written
-from .pieces import Pieces
+from .common import documents, forget, released, small_batches, written
+from .pieces import TAIL, Answers, asked, assembled, cutter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
-#: Text of one block.
-BLOCK_BYTES = 4 << 20
-_MAGIC = b"QTF1"
+#: Text of one block, and blocks whose tokens are summed together first.
+BLOCK_BYTES, GROUP = 8 << 20, 4096
+_MAGIC, _TABLE = b"QTF2", b"QTR2"
+_PLAIN = "\u0250"
 #: The four value lengths that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
 class Encoder:
-    """The tokenizers library behind a memory of pieces; strings of special tokens are ordinary text."""
+    """The tokenizers library over pieces; strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,26 +59,43 @@ class Encoder:
         space = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with a space, which byte-level BPE writes as this letter
         space[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.space = space
-        self.pieces = Pieces(self._encode, lambda t: self._encode([t])[0], self._words)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # ids alone, without offsets
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of space-led words, encoded as running text and cut where an id begins with a space."""
-        out: list[bytes] = []
-        runs = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for run, made in zip(runs, self.library.encode_batch_fast(["".join([f" {w}" for w in run]) for run in runs], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, "<u4")
-            edge = np.flatnonzero(self.space[ids]) * 4
-            packed, edges = ids.tobytes(), [*edge.tolist(), 4 * len(ids)]
-            parts = [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
-            out += parts if len(parts) == len(run) else self._encode([f" {w}" for w in run])
-        return out
+        self.cut = cutter()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # ids alone, without offsets
+
+    def _words(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of space-led words of plain letters, encoded as running text and cut where an id begins with a space."""
+        for i in range(0, len(words), 1000):
+            run = words[i : i + 1000]
+            ids = self._encode(["".join(run)])[0]
+            edge = [*np.flatnonzero(self.space[ids]).tolist(), len(ids)]
+            yield from [ids[i:j] for i, j in zip(edge, edge[1:], strict=False)] if len(edge) == len(run) + 1 else self._encode(run)
+
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and where each piece's ids end.
+
+        A word of plain letters and the marks after it are two matches, so such a word is encoded once.
+        """
+        plain, other, cut = {}, {}, []
+        for p in pieces:
+            core = p.rstrip(TAIL)
+            if core[:1] == " " and core[1:].isalpha() and (core.isascii() or max(core) < _PLAIN):
+                plain[core] = None
+                tail = p[len(core) :]
+                if tail:
+                    other[tail] = None
+                cut.append((core, tail))
+            else:
+                other[p] = None
+                cut.append((p, ""))
+        ids = dict(zip(plain, self._words(list(plain)), strict=True)) | dict(zip(other, self._encode(list(other)), strict=True)) | {"": []}
+        ends = np.cumsum(np.fromiter((len(ids[c]) + len(ids[t]) for c, t in cut), np.int64, len(cut)))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable((ids[c], ids[t]) for c, t in cut)), np.int64, int(ends[-1]) if len(ends) else 0)
+        return flat, ends
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        return self.pieces.texts(texts)
+        return [self.pieces(self.cut(t))[0].astype("<u4").tobytes() for t in texts]
 
 
 _MADE: dict[str, Encoder] = {}
@@ -109,25 +131,19 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    count = np.bincount(flat)  # as long as the vocabulary
-    found = np.flatnonzero(count)
-    order = np.lexsort((found, -count[found]))  # commonest first
-    rank = np.zeros(len(count), np.uint32)
-    rank[found[order]] = np.arange(len(found))
-    control, data = pack_values(rank[flat])
-    head = _MAGIC + struct.pack("<IIQ", len(ids), len(found), len(flat))
+def write_block(doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:
+    control, data = pack_values(ranks)
+    head = _MAGIC + struct.pack("<IQ", len(doc_ids), len(ranks))
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array([len(x) // 4 for x in ids], "<u4").tobytes(), found[order].astype("<u4").tobytes(), control, data])
+    return b"".join([head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), counts.astype("<u4").tobytes(), control, data])
 
 
-def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def read_block(block: bytes, table: np.ndarray) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, values of each document, all ids)."""
     if block[:4] != _MAGIC:
         raise ValueError("not a block of token ids")
-    docs, distinct, n = struct.unpack_from("<IIQ", block, 4)
-    at = 20
+    docs, n = struct.unpack_from("<IQ", block, 4)
+    at = 16
 
     def take(kind: str, many: int) -> np.ndarray:
         nonlocal at
@@ -135,47 +151,78 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += out.nbytes
         return out
 
-    doc_ids, known, counts, table = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u4", distinct)
+    doc_ids, known, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
     control = take("u1", -(-n // 4))
     values = unpack_values(control, np.frombuffer(block, "u1", -1, at), n)
     return [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], counts, table[values]
 
 
-def _make(vocabulary: str):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        made, end = encoder(vocabulary), struct.pack("<I", END)
-        ids: list[bytes] = []
-        for i in range(0, len(rows), 1000):
-            ids += [x + end for x in made.texts([t or "" for _, t in rows[i : i + 1000]])]
-        block = write_block([d for d, _ in rows], ids)
-        return pa.table({"block": pa.array([table.column("_q_range")[0].as_py()], pa.int32()), "tokens": pa.array([sum(map(len, ids)) // 4], pa.int64()), "bytes": pa.array([block], pa.binary())})
-
-    return run
+def _counts(batches):
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for b in batch.column("rows"):
+            held = pa.ipc.open_stream(b.as_buffer()).read_all()
+            part = np.bincount(held.column("id").to_numpy(), held.column("n").to_numpy()).astype(np.int64)
+            total = np.pad(total, (0, max(0, len(part) - len(total))))
+            total[: len(part)] += part
+    some = np.flatnonzero(total)
+    yield pa.record_batch({"id": pa.array(some, pa.int64()), "n": pa.array(total[some])})
 
 
 def write(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write the blocks of docs (doc_id, text) and return them as read back: block, tokens, bytes."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    dealt = slim.withColumn("_q_range", ranges(slim, "doc_id", "text", block_bytes))
-    return written(dealt.groupBy("_q_range").applyInArrow(_make(vocabulary), "block int, tokens bigint, bytes binary"), "token-blocks")
+    dealt, answers = asked(slim, lambda: encoder(vocabulary).pieces, "text", "doc_id", range_bytes=block_bytes)
+    answers = written(answers, "piece-ids")
+    counts = {r["id"]: r["n"] for r in answers.where("part < 0").mapInArrow(released(_counts), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # as many rows as the vocabulary has ids
+    counts[END] = counts.get(END, 0) + slim.count()
+    table = np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
+    rank = np.zeros(int(table.max()) + 1, np.uint32)
+    rank[table] = np.arange(len(table))
+    end = rank[END : END + 1].astype("<u4")
+
+    def finish(rows: pa.Table, told: Answers, block: int) -> pa.Table:
+        pairs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: (r[0] or 0, r[1] or ""))
+        ranks, sizes = [], []
+        for _, t in pairs:
+            ids = np.frombuffer(told.of(t), "<u4")
+            ranks += (rank[ids], end)
+            sizes.append(len(ids) + 1)
+        return pa.table({"block": pa.array([block], pa.int32()), "tokens": pa.array([sum(sizes)], pa.int64()), "bytes": pa.array([write_block([d for d, _ in pairs], np.array(sizes), np.concatenate(ranks))], pa.binary())})
+
+    schema = "block int, tokens bigint, bytes binary"
+    blocks = assembled(dealt, answers, "text", finish, schema)
+    ids = docs.sparkSession.createDataFrame([(-1, 0, _TABLE + table.astype("<u4").tobytes())], schema)
+    out = written(blocks.unionByName(ids), "token-blocks")
+    forget(answers)
+    return out
 
 
 def read(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the blocks."""
-    sizes = sorted((r["block"], r["tokens"]) for r in blocks.select("block", "tokens").collect())  # a number for each block
-    starts = dict(zip([b for b, _ in sizes], np.cumsum([0, *(n for _, n in sizes)]).tolist(), strict=False))
+    held = bytes(blocks.where("block = -1").select("bytes").first()["bytes"])
+    if held[:4] != _TABLE:
+        raise ValueError("not a table of token ids")
+    table = np.frombuffer(held, "<u4", offset=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, content in zip(batch.column("block").to_pylist(), batch.column("bytes"), strict=True):
-                doc_ids, counts, ids = read_block(content.as_py())
+                doc_ids, counts, ids = read_block(content.as_py(), table)
                 ends = np.cumsum(counts, dtype=np.int64)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.record_batch({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(ends - counts + starts[number]), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return blocks.select("block", "bytes").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+                yield pa.record_batch({"block": pa.array([number] * len(doc_ids), pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "before": pa.array(ends - counts), "n_tokens": pa.array(counts.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64())})
+
+    # the tokens before each block: those of the groups of blocks before its own, and those of its group before it
+    sizes = blocks.where("block >= 0").select("block", "tokens", F.floor(F.col("block") / GROUP).alias("of"))
+    group = sizes.groupBy("of").agg(F.sum("tokens").alias("n"))
+    upto = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    group = group.select("of", F.coalesce(F.sum("n").over(upto(Window.orderBy("of"))), F.lit(0)).alias("first"))  # a row for each GROUP blocks
+    start = sizes.join(group, "of").select("block", (F.col("first") + F.coalesce(F.sum("tokens").over(upto(Window.partitionBy("of").orderBy("block"))), F.lit(0))).alias("first"))
+    docs = blocks.where("block >= 0").select("block", "bytes").mapInArrow(released(run), "block int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
+    return docs.join(start, "block").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
