@@ -7,12 +7,12 @@ is one pair's) to the positions of such pairs. Ranks are taken in ascending orde
 all positions of a rank are merged together and only the touched neighbours enter
 the index anew. Within a word this is the order of the greedy merges: when a rank
 comes up, no pair of any word has a smaller one. The ids are joined back to the
-documents by ranges.
+runs of documents.
 
 Defined cases: null and empty texts have no ids and decode to the empty string;
 very long texts and words are encoded whole; repeated rows give repeated rows; ties
 do not occur, as ranks are distinct; an empty table gives no rows; extra columns are
-passed through (names ``_q_ids`` and ``_q_range`` are the operator's own). Ids are
+passed through (the name ``_q_ids`` is the operator's own). Ids are
 stored as little-endian unsigned 32-bit integers in one binary value per document.
 """
 
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, released, small_batches
-from .pieces import Answers, asked, assembled, cutter, matcher, ragged
+from .common import documents, forget, released, small_batches, written
+from .pieces import Run, asked, assembled, cut, matcher, ragged
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -54,7 +54,7 @@ class MergeReplay:
         merged = {self.ranks[t[:k]] << 20 | self.ranks[t[k:]]: r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self.pair_keys = np.array(sorted(merged))
         self.pair_ranks = np.array([merged[k] for k in self.pair_keys.tolist()])
-        self.matches, self.cut = matcher(pattern).findall, cutter(pattern)
+        self.matches = matcher(pattern).findall
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair merges into; -1: nothing."""
@@ -130,10 +130,12 @@ class MergeReplay:
         return flat, upto[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        ids, ends = self.pieces([p for c in cut for p in c])
-        edge = np.append(0, ends)[np.append(0, np.cumsum([len(c) for c in cut], dtype=np.int64))]
-        return [ids[i:j].astype("<u4").tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        codes, counts, pieces, _ = cut(pa.array(texts, pa.large_string()), self.matches)
+        ids, ends = self.pieces(pieces.to_pylist())
+        size = np.diff(ends, prepend=0)
+        flat = ids[ragged((ends - size)[codes], size[codes])].astype("<u4")
+        edge = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(counts))]
+        return [flat[i:j].tobytes() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -153,19 +155,19 @@ def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> M
     return _MADE[path, pattern]
 
 
-def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, key: str) -> DataFrame:
+def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, kept: list[str]) -> tuple[DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
-    dealt, answers = asked(docs, lambda: codec(vocabulary, pattern).pieces, text, key, pattern)
-    return assembled(dealt, answers, text, finish, schema, pattern)
+    runs, answers = asked(docs, lambda: codec(vocabulary, pattern).pieces, text, kept, pattern)
+    return runs, assembled(runs, answers, finish, schema)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with ``_q_ids``, the ids of each text; the key, a number, only deals documents to ranges."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+    """docs with ``_q_ids``, the ids of each text."""
 
-    def finish(rows: pa.Table, told: Answers, _: int) -> pa.Table:
-        return rows.append_column("_q_ids", pa.array([told.of(t) for t in rows.column(text).to_pylist()], pa.binary()))
+    def finish(runs: list[Run], _: int) -> pa.Table:
+        return pa.concat_tables([r.rows.append_column("_q_ids", pa.array([x.tobytes() for x in r.texts()], pa.binary())) for r in runs])
 
-    return _encoded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]), vocabulary, pattern, text, key)
+    return _encoded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]), vocabulary, pattern, text, docs.columns)[1]
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -183,18 +185,24 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_to
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Of each text's ids, and of the bytes they decode to."""
 
-    def finish(rows: pa.Table, told: Answers, _: int) -> pa.Table:
+    def finish(runs: list[Run], _: int) -> pa.Table:
         made = codec(vocabulary, pattern)
-        n, ids, decoded = [], [], []
-        for t in rows.column("text").to_pylist():
-            found = told.of(t)
-            n.append(len(found) // 4)
-            ids.append(made.decimal_digest(found))
-            decoded.append(hashlib.sha256(made.decode(found)).hexdigest())
-        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+        parts = []
+        for r in runs:
+            n, ids, decoded = [], [], []
+            for x in r.texts():
+                found = x.tobytes()
+                n.append(len(x))
+                ids.append(made.decimal_digest(found))
+                decoded.append(hashlib.sha256(made.decode(found)).hexdigest())
+            parts.append(pa.table({"doc_id": r.rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}))
+        return pa.concat_tables(parts)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _encoded(slim, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", vocabulary, pattern, "text", "doc_id")
+    runs, out = _encoded(slim, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", vocabulary, pattern, "text", ["doc_id"])
+    out = written(out, "digests")
+    forget(runs)
+    return out
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,24 @@ match of the byte-level pattern, so the ids of a text are the ids of its space-l
 pieces, one after the other; a text with other white space around a space is cut at
 every match of the pattern. Three steps:
 
-1. Every task cuts its texts and sends, for each range of documents, the distinct
-   pieces with their counts to buckets of pieces (one message for each range and
-   bucket that has any; a bucket is known by the piece's letters, so that a word
-   and the same word before a comma meet).
-2. A bucket encodes its distinct pieces at once and answers every range.
-3. Each range meets its answers and puts the ids of its texts together.
-
-Documents travel to their range as compressed runs of rows. No group is keyed by
-content: a piece in every document is one entry of each range's message.
+1. Every task cuts its texts, a few MB at once (a run), numbers the run's distinct
+   pieces by frequency, and writes the texts as sequences of these numbers. The
+   pieces with their counts go to buckets (one message for each run and bucket that
+   has any; a bucket is known by the piece's letters, so that a word and the same
+   word before a comma meet). All of this is written to the shared folder once.
+2. A bucket encodes its distinct pieces at once and answers every run.
+3. Each run meets its answers, and one gather puts the ids of its texts together.
+
+No group is keyed by content: a piece in every document is one entry of each run's
+message.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -30,14 +32,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, ranges, released
+from .common import freed, released, written
 from .words import slices
 
-RANGE_BYTES = 8 << 20
+#: Text of a run, and of the corpus for each bucket.
+RUN_BYTES = 8 << 20
 BUCKET_BYTES = 48 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
-_ODD = regex.compile(r" \s|\s |^ | $|\x00")
 _MORE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
@@ -46,16 +48,58 @@ def matcher(pattern: str = public_tokenizers.PATTERN) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def cutter(pattern: str = public_tokenizers.PATTERN) -> Callable[[str], list[str]]:
-    """A text's pieces; joined they are the text, and each has its ids whatever stands beside it."""
-    matches = matcher(pattern).findall
+def _plain(column) -> pa.LargeStringArray:
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
+    return column
 
-    def cut(text: str) -> list[str]:
-        if _ODD.search(text):
-            return matches(text)
-        return text.replace(" ", "\0 ").split("\0") if text else []
 
-    return cut
+def _one(column) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def cut(column, matches: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Texts in pieces: the pieces' numbers text by text, how many each text has, the distinct pieces, commonest first, and their counts.
+
+    Joined, its pieces are the text, and each has its ids whatever stands beside it.
+    """
+    texts = _plain(column)
+    lists = pc.split_pattern(texts, " ")
+    first = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
+    counts = np.diff(first)
+    held = lists.flatten().dictionary_encode()
+    words, at = held.dictionary, held.indices.to_numpy().astype(np.int64)
+    # a word that is empty or has white space at an end stands beside white space: its text is cut at every match
+    bare = pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy(zero_copy_only=False)
+    odd = (bare == 0) | (bare < pc.binary_length(words).to_numpy(zero_copy_only=False))
+    strange = np.flatnonzero(np.bincount(np.repeat(np.arange(len(counts)), counts), odd[at], len(counts))) if len(at) else np.zeros(0, np.int64)
+    led = np.ones(len(at), np.int64)
+    led[first[:-1]] = 0
+    key = 2 * at + led
+    more: dict[str, int] = {}
+    if len(strange):
+        found = [matches(texts[i].as_py()) for i in strange.tolist()]
+        base = 2 * len(words)
+        cut_at = np.ones(len(counts), bool)
+        cut_at[strange] = False
+        usual = np.flatnonzero(cut_at)
+        kept = key[ragged(first[usual], counts[usual])]
+        counts = counts.copy()
+        counts[strange] = [len(f) for f in found]
+        starts = np.cumsum(counts) - counts
+        new = np.empty(int(counts.sum()), np.int64)
+        new[ragged(starts[usual], counts[usual])] = kept
+        new[ragged(starts[strange], counts[strange])] = [base + more.setdefault(m, len(more)) for f in found for m in f]
+        key = new
+    n = np.bincount(key, minlength=2 * len(words) + len(more))
+    used = np.flatnonzero(n)
+    used = used[np.argsort(-n[used], kind="stable")]
+    number = np.empty(len(n), np.int64)
+    number[used] = np.arange(len(used))
+    every = pa.concat_arrays([words, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), words, pa.scalar("", pa.large_string())), pa.array(list(more), pa.large_string())])
+    place = np.where(used < 2 * len(words), used // 2 + (used % 2) * len(words), used)
+    return number[key], counts, every.take(pa.array(place)), n[used]
 
 
 def pack_rows(table: pa.Table) -> bytes:
@@ -65,43 +109,36 @@ def pack_rows(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack_rows(column) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in column])
-
+def unpack_rows(blob) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
-def _by_range(batches, text: str) -> Iterator[tuple[int, pa.Table]]:
-    for table in slices(batches, text=text):
-        of = table.column("_q_range").to_numpy()
-        for r in np.unique(of).tolist():
-            yield r, table.filter(pa.array(of == r)).drop_columns(["_q_range"])
 
+def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit values."""
+    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
+    code[: len(values)] = size - 1
+    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
+    at = np.cumsum(size) - size
+    data = np.zeros(int(size.sum()), np.uint8)
+    for k in range(4):
+        has = size > k
+        data[at[has] + k] = values[has] >> (8 * k) & 0xFF
+    return control.tobytes(), data.tobytes()
 
-def _send_rows(text: str):
-    def run(batches):
-        for r, mine in _by_range(batches, text):
-            yield pa.record_batch({"part": pa.array([r], pa.int32()), "rows": pa.array([pack_rows(mine)], pa.binary())})
 
-    return run
+#: The four value lengths that each control byte stands for.
+LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def _ask(text: str, buckets: int, pattern: str):
-    def run(batches):
-        cut = cutter(pattern)
-        for r, mine in _by_range(batches, text):
-            found: Counter = Counter()
-            for t in mine.column(text).to_pylist():
-                if t:
-                    found.update(cut(t))
-            pieces = list(found)
-            to = np.array([zlib.crc32(p.strip().rstrip(TAIL).encode()) % buckets for p in pieces], np.int64)
-            order = np.argsort(to, kind="stable")
-            edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
-            table = pa.table({"piece": pa.array(pieces, pa.large_string()), "n": pa.array(list(found.values()), pa.int64())}).take(pa.array(order))
-            to = to[order]
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield pa.record_batch({"bucket": pa.array([int(to[i])], pa.int32()), "part": pa.array([r], pa.int32()), "rows": pa.array([pack_rows(table.slice(i, j - i))], pa.binary())})
-
-    return run
+def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
+    at = np.cumsum(size) - size
+    out = np.zeros(n, np.uint32)
+    for k in range(4):
+        has = size > k
+        out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -110,72 +147,117 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _runs(text: str, kept: list[str], buckets: int, pattern: str, by_range: bool):
+    def run(batches):
+        matches = matcher(pattern).findall
+        for table in slices(batches, RUN_BYTES * (2 if by_range else 1), text):
+            of = table.column("_q_range").to_numpy() if by_range else np.zeros(table.num_rows)
+            for r in np.unique(of).tolist():
+                mine = table.filter(pa.array(of == r)) if by_range else table
+                yield from _messages(mine, text, kept, buckets, matches, r if by_range else None)
+
+    return run
+
+
+def _messages(mine: pa.Table, text: str, kept: list[str], buckets: int, matches, part: int | None):
+    uid = uuid.uuid4().int >> 65
+    part = uid if part is None else part
+    codes, counts, pieces, n = cut(mine.column(text), matches)
+    control, data = pack_values(codes)
+    held = pa.table({"control": [control], "data": [data], "counts": [counts.astype("<u4").tobytes()]}, schema=pa.schema([(c, pa.large_binary()) for c in ("control", "data", "counts")]))
+    rows = [(-1, pack_rows(mine.select(kept)), pack_rows(held))]
+    to = np.array([zlib.crc32(p.strip().rstrip(TAIL).encode()) % buckets for p in pieces.to_pylist()], np.int64)
+    order = np.argsort(to, kind="stable")
+    table = pa.table({"piece": pieces, "n": pa.array(n), "code": pa.array(np.arange(len(n)).astype(np.int32))}).take(pa.array(order))
+    edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
+    rows += [(int(to[order[i]]), pack_rows(table.slice(i, j - i)), None) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    for b, content, codes_ in rows:
+        yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "part": pa.array([part], pa.int64()), "uid": pa.array([uid], pa.int64()), "rows": pa.array([content], pa.binary()), "codes": pa.array([codes_], pa.binary())})
+
+
 def _encode(encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]):
     def run(asked: pa.Table) -> pa.Table:
-        part = asked.column("part").to_numpy()
-        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in asked.column("rows")]
-        every = pa.chunked_array([t.column("piece").combine_chunks() if t.num_rows else pa.array([], pa.large_string()) for t in tables], pa.large_string()).combine_chunks().dictionary_encode()
-        if isinstance(every, pa.ChunkedArray):
-            every = every.combine_chunks()
+        tables = [unpack_rows(b) for b in asked.column("rows")]
+        every = pa.concat_arrays([_one(t.column("piece")) for t in tables]).dictionary_encode()
         at, count = every.indices.to_numpy(), np.concatenate([t.column("n").to_numpy() for t in tables])
-        pieces = every.dictionary
-        ids, ends = encoder()(pieces.to_pylist())
+        ids, ends = encoder()(every.dictionary.to_pylist())
         lengths = np.diff(ends, prepend=0)
         starts = ends - lengths
         # how often each id stands in the corpus
-        used = np.bincount(at, count, len(pieces))
-        total = np.bincount(ids, np.repeat(used, lengths)).astype(np.int64)
+        total = np.bincount(ids, np.repeat(np.bincount(at, count, len(lengths)), lengths)).astype(np.int64)
         some = np.flatnonzero(total)
-        rows = [(-1, pack_rows(pa.table({"id": pa.array(some, pa.int64()), "n": pa.array(total[some])})))]
-        of = np.repeat(part, [t.num_rows for t in tables])
+        out = [(-1, 0, pack_rows(pa.table({"id": pa.array(some, pa.int64()), "n": pa.array(total[some])})))]
         kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
-        for r in np.unique(part).tolist():
-            mine = np.unique(at[of == r])
-            size = lengths[mine]
-            flat = ids[ragged(starts[mine], size)].astype(kind)
+        edge = np.cumsum([0, *(t.num_rows for t in tables)]).tolist()
+        for part, uid, t, i, j in zip(asked.column("part").to_pylist(), asked.column("uid").to_pylist(), tables, edge[:-1], edge[1:], strict=True):
+            size = lengths[at[i:j]]
+            flat = ids[ragged(starts[at[i:j]], size)].astype(kind)
             held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
-            rows.append((r, pack_rows(pa.table({"piece": pieces.take(pa.array(mine)), "ids": held}))))
-        return pa.table({"part": pa.array([r for r, _ in rows], pa.int32()), "rows": pa.array([b for _, b in rows], pa.binary())})
+            step = np.diff(t.column("code").to_numpy(), prepend=0).astype(np.int32)  # they ascend
+            out.append((part, uid, pack_rows(pa.table({"step": pa.array(step), "ids": held}))))
+        return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "uid": pa.array([o[1] for o in out], pa.int64()), "rows": pa.array([o[2] for o in out], pa.binary())})
 
     return freed(run)
 
 
-class Answers:
-    """The ids of a range's pieces, as packed 32-bit values."""
+@dataclass
+class Run:
+    """Rows with the ids of their texts, one after the other, and where each text's ids end."""
+
+    rows: pa.Table
+    ids: np.ndarray
+    ends: np.ndarray
 
-    def __init__(self, column, pattern: str):
-        self.cut = cutter(pattern)
-        self.ids: dict[str, bytes] = {}
-        for b in column:
-            table = pa.ipc.open_stream(b.as_buffer()).read_all().combine_chunks()
-            held = table.column("ids").combine_chunks()
-            if isinstance(held, pa.ChunkedArray):
-                held = pa.concat_arrays(held.chunks) if held.num_chunks else pa.array([], held.type)
-            packed = held.flatten().to_numpy().astype("<u4").tobytes()
-            ends = (held.offsets.to_numpy().astype(np.int64) * 4).tolist()
-            self.ids.update(zip(table.column("piece").to_pylist(), map(packed.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
+    def texts(self) -> Iterator[np.ndarray]:
+        for i, j in zip([0, *self.ends[:-1].tolist()], self.ends.tolist(), strict=False):
+            yield self.ids[i:j]
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.ids.__getitem__, self.cut(text))) if text else b""
 
+def _assemble(rows, codes, answers: list) -> Run:
+    held = unpack_rows(codes)
+    counts = np.frombuffer(held.column("counts")[0].as_buffer(), "<u4").astype(np.int64)
+    control, data = (np.frombuffer(held.column(c)[0].as_buffer(), np.uint8) for c in ("control", "data"))
+    code = unpack_values(control, data, int(counts.sum()))
+    told = [unpack_rows(a) for a in answers]
+    places = [np.cumsum(t.column("step").to_numpy()) for t in told]
+    flats = [_one(t.column("ids")) for t in told]
+    pieces = sum(len(p) for p in places)
+    start, size, before = np.zeros(pieces, np.int64), np.zeros(pieces, np.int64), 0
+    for place, flat in zip(places, flats, strict=True):
+        offsets = flat.offsets.to_numpy().astype(np.int64)
+        start[place], size[place] = before + offsets[:-1], np.diff(offsets)
+        before += int(offsets[-1])
+    ids = np.concatenate([f.flatten().to_numpy() for f in flats]) if flats else np.zeros(0, np.uint16)
+    length = size[code]
+    upto = np.append(0, np.cumsum(length))
+    return Run(unpack_rows(rows), ids[ragged(start[code], length)].astype("<u4"), upto[np.cumsum(counts)])
 
-def asked(docs: DataFrame, encoder, text: str, key: str, pattern: str = public_tokenizers.PATTERN, range_bytes: int = RANGE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(docs with _q_range, answers): answers (part, rows) hold a range's pieces with their ids; part -1 holds counts of ids.
+
+def asked(docs: DataFrame, encoder, text: str, kept: list[str], pattern: str = public_tokenizers.PATTERN, ranges=None, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(runs, answers): runs is written; answers (part, uid, rows) hold the ids of a run's pieces, and at part -1 counts of ids.
 
     encoder() gives a function that turns a list of pieces into all of their ids and the end of each piece's.
+    With ranges, a column of numbers, runs of one range have its number as their part; otherwise each is a part.
     """
-    dealt = docs.withColumn("_q_range", ranges(docs, key, text, range_bytes))
     size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     buckets = int(max(16, -(-size // bucket_bytes)))
-    messages = dealt.select(text, "_q_range").mapInArrow(released(_ask(text, buckets, pattern)), "bucket int, part int, rows binary")
-    return dealt, messages.groupBy("bucket").applyInArrow(_encode(encoder), "part int, rows binary")
+    wanted = docs.select(*dict.fromkeys([text, *kept])) if ranges is None else docs.select(*dict.fromkeys([text, *kept]), ranges.cast("bigint").alias("_q_range"))
+    schema = "bucket int, part bigint, uid bigint, rows binary, codes binary"
+    runs = written(wanted.mapInArrow(released(_runs(text, kept, buckets, pattern, ranges is not None)), schema), "piece-runs")
+    messages = runs.where("bucket >= 0").select("bucket", "part", "uid", "rows")
+    return runs, messages.groupBy("bucket").applyInArrow(_encode(encoder), "part bigint, uid bigint, rows binary")
 
 
-def assembled(dealt: DataFrame, answers: DataFrame, text: str, finish: Callable[[pa.Table, Answers, int], pa.Table], schema, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """finish(rows of a range, its answers, its number) of every range."""
+def assembled(runs: DataFrame, answers: DataFrame, finish: Callable[[list[Run], int], pa.Table], schema) -> DataFrame:
+    """finish(runs, number) of every part."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        return finish(unpack_rows(rows.column("rows")), Answers(told.column("rows"), pattern), rows.column("part")[0].as_py())
-
-    sent = dealt.mapInArrow(released(_send_rows(text)), "part int, rows binary")
-    return sent.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(freed(run), schema)
+        by: dict[int, list] = {}
+        for uid, b in zip(told.column("uid").to_pylist(), told.column("rows"), strict=True):
+            by.setdefault(uid, []).append(b)
+        order = np.argsort(rows.column("uid").to_numpy())
+        uids, content, codes = rows.column("uid").to_pylist(), rows.column("rows"), rows.column("codes")
+        return finish([_assemble(content[i], codes[i], by.get(uids[i], [])) for i in order.tolist()], rows.column("part")[0].as_py())
+
+    texts = runs.where("bucket < 0").select("part", "uid", "rows", "codes")
+    return texts.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(freed(run), schema)

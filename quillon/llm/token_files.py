@@ -15,7 +15,7 @@ document; u8 whether it is known; u32 values of each document; control bytes; da
 bytes. Table layout: ``QTR2``; u32 id of each rank.
 
 Defined cases: null and empty texts hold the end id alone; rows of equal doc_id
-follow each other in the order of their texts; null doc_ids come first, in blocks of
+follow each other in the order of their ids; null doc_ids come first, in blocks of
 their own; ids of equal counts rank by number; very long texts are encoded whole;
 extra columns are not written. An empty table gives no blocks but the table of ids.
 """
@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, forget, released, small_batches, written
-from .pieces import TAIL, Answers, asked, assembled, cutter
+from .common import documents, forget, ranges, released, small_batches, written
+from .pieces import TAIL, Run, asked, assembled, pack_values, unpack_values
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -43,8 +43,6 @@ END = 0
 BLOCK_BYTES, GROUP = 8 << 20, 4096
 _MAGIC, _TABLE = b"QTF2", b"QTR2"
 _PLAIN = "\u0250"
-#: The four value lengths that each control byte stands for.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
 class Encoder:
@@ -59,7 +57,6 @@ class Encoder:
         space = np.zeros(self.library.get_vocab_size(), bool)  # ids that begin with a space, which byte-level BPE writes as this letter
         space[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
         self.space = space
-        self.cut = cutter()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # ids alone, without offsets
@@ -94,9 +91,6 @@ class Encoder:
         flat = np.fromiter(chain.from_iterable(chain.from_iterable((ids[c], ids[t]) for c, t in cut)), np.int64, int(ends[-1]) if len(ends) else 0)
         return flat, ends
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        return [self.pieces(self.cut(t))[0].astype("<u4").tobytes() for t in texts]
-
 
 _MADE: dict[str, Encoder] = {}
 
@@ -107,30 +101,6 @@ def encoder(path: str) -> Encoder:
     return _MADE[path]
 
 
-def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    code[: len(values)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        has = size > k
-        data[at[has] + k] = values[has] >> (8 * k) & 0xFF
-    return control.tobytes(), data.tobytes()
-
-
-def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
-        out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return out
-
-
 def write_block(doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:
     control, data = pack_values(ranks)
     head = _MAGIC + struct.pack("<IQ", len(doc_ids), len(ranks))
@@ -173,7 +143,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOC
     """Write the blocks of docs (doc_id, text) and return them as read back: block, tokens, bytes."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    dealt, answers = asked(slim, lambda: encoder(vocabulary).pieces, "text", "doc_id", range_bytes=block_bytes)
+    runs, answers = asked(slim, lambda: encoder(vocabulary).pieces, "text", ["doc_id"], ranges=ranges(slim, "doc_id", "text", block_bytes))
     answers = written(answers, "piece-ids")
     counts = {r["id"]: r["n"] for r in answers.where("part < 0").mapInArrow(released(_counts), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # as many rows as the vocabulary has ids
     counts[END] = counts.get(END, 0) + slim.count()
@@ -182,20 +152,22 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOC
     rank[table] = np.arange(len(table))
     end = rank[END : END + 1].astype("<u4")
 
-    def finish(rows: pa.Table, told: Answers, block: int) -> pa.Table:
-        pairs = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True), key=lambda r: (r[0] or 0, r[1] or ""))
-        ranks, sizes = [], []
-        for _, t in pairs:
-            ids = np.frombuffer(told.of(t), "<u4")
-            ranks += (rank[ids], end)
-            sizes.append(len(ids) + 1)
-        return pa.table({"block": pa.array([block], pa.int32()), "tokens": pa.array([sum(sizes)], pa.int64()), "bytes": pa.array([write_block([d for d, _ in pairs], np.array(sizes), np.concatenate(ranks))], pa.binary())})
+    def finish(runs: list[Run], block: int) -> pa.Table:
+        ids = [d for r in runs for d in r.rows.column("doc_id").to_pylist()]
+        found = [x for r in runs for x in r.texts()]
+        order = sorted(range(len(ids)), key=lambda i: ids[i] or 0)
+        if len(set(ids)) < len(ids):  # rows of equal doc_id: by their ids, which are as long as their texts tell
+            order.sort(key=lambda i: (ids[i] or 0, found[i].tolist()))
+        sizes = np.array([len(found[i]) + 1 for i in order])
+        ranks = np.concatenate([x for i in order for x in (rank[found[i]], end)])
+        return pa.table({"block": pa.array([block], pa.int32()), "tokens": pa.array([int(sizes.sum())], pa.int64()), "bytes": pa.array([write_block([ids[i] for i in order], sizes, ranks)], pa.binary())})
 
     schema = "block int, tokens bigint, bytes binary"
-    blocks = assembled(dealt, answers, "text", finish, schema)
+    blocks = assembled(runs, answers, finish, schema)
     ids = docs.sparkSession.createDataFrame([(-1, 0, _TABLE + table.astype("<u4").tobytes())], schema)
     out = written(blocks.unionByName(ids), "token-blocks")
     forget(answers)
+    forget(runs)
     return out
 
 
