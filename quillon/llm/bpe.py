@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, released, small_batches, written
-from .pieces import Run, asked, assembled, cut, matcher, ragged
+from .common import documents, released, small_batches
+from .pieces import Run, assembled, buckets_of, cut, cut_runs, encoded, matcher, ragged, strings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -116,9 +116,9 @@ class MergeReplay:
         alive = sym >= 0
         return sym[alive], np.cumsum(alive)[ends - 1]
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and where each piece's ids end; a word of several pieces is merged once."""
-        found = [self.matches(p) for p in pieces]
+        found = [self.matches(p) for p in strings(pieces)]
         words = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
         if not words:
             return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
@@ -131,7 +131,7 @@ class MergeReplay:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         codes, counts, pieces, _ = cut(pa.array(texts, pa.large_string()), self.matches)
-        ids, ends = self.pieces(pieces.to_pylist())
+        ids, ends = self.pieces(pieces)
         size = np.diff(ends, prepend=0)
         flat = ids[ragged((ends - size)[codes], size[codes])].astype("<u4")
         edge = np.append(0, np.cumsum(size[codes]))[np.append(0, np.cumsum(counts))]
@@ -155,10 +155,11 @@ def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> M
     return _MADE[path, pattern]
 
 
-def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, kept: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
-    runs, answers = asked(docs, lambda: codec(vocabulary, pattern).pieces, text, kept, pattern)
-    return runs, assembled(runs, answers, finish, schema)
+    # both of its uses read one exchange of the runs
+    runs = cut_runs(docs, text, kept, pattern).repartition("part")
+    return assembled(runs, encoded(runs, lambda: codec(vocabulary, pattern).pieces, buckets_of(docs, text)), finish, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
@@ -167,7 +168,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_
     def finish(runs: list[Run], _: int) -> pa.Table:
         return pa.concat_tables([r.rows.append_column("_q_ids", pa.array([x.tobytes() for x in r.texts()], pa.binary())) for r in runs])
 
-    return _encoded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]), vocabulary, pattern, text, docs.columns)[1]
+    return _encoded(docs, finish, T.StructType([*docs.schema.fields, T.StructField("_q_ids", T.BinaryType())]), vocabulary, pattern, text, docs.columns)
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -199,10 +200,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public
         return pa.concat_tables(parts)
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    runs, out = _encoded(slim, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", vocabulary, pattern, "text", ["doc_id"])
-    out = written(out, "digests")
-    forget(runs)
-    return out
+    return _encoded(slim, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", vocabulary, pattern, "text", ["doc_id"])
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

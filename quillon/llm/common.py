@@ -44,11 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df into the shared folder and read it back: a cut in lineage that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out

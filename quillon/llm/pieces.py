@@ -9,7 +9,8 @@ every match of the pattern. Three steps:
    pieces by frequency, and writes the texts as sequences of these numbers. The
    pieces with their counts go to buckets (one message for each run and bucket that
    has any; a bucket is known by the piece's letters, so that a word and the same
-   word before a comma meet). All of this is written to the shared folder once.
+   word before a comma meet). A run's name is a digest of its contents and place, so
+   a task that runs again gives the same runs.
 2. A bucket encodes its distinct pieces at once and answers every run.
 3. Each run meets its answers, and one gather puts the ids of its texts together.
 
@@ -19,8 +20,7 @@ message.
 
 from __future__ import annotations
 
-import uuid
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,14 +29,15 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, released, written
-from .words import slices
+from .common import freed, released
+from .words import slices, text_bytes, word_keys
 
 #: Text of a run, and of the corpus for each bucket.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 16 << 20
 BUCKET_BYTES = 48 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
@@ -147,54 +148,79 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _runs(text: str, kept: list[str], buckets: int, pattern: str, by_range: bool):
+def strings(column: pa.LargeStringArray) -> list[str]:
+    """The column's values, by one join and split where a mark is free."""
+    if not len(column):
+        return []
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column), pa.scalar("\x01", pa.large_string()))[0].as_py()
+    out = joined.split("\x01")
+    return out if len(out) == len(column) else column.to_pylist()
+
+
+def _runs(text: str, kept: list[str], pattern: str, by_range: bool):
     def run(batches):
         matches = matcher(pattern).findall
-        for table in slices(batches, RUN_BYTES * (2 if by_range else 1), text):
+        for k, table in enumerate(slices(batches, RUN_BYTES, text)):
             of = table.column("_q_range").to_numpy() if by_range else np.zeros(table.num_rows)
             for r in np.unique(of).tolist():
                 mine = table.filter(pa.array(of == r)) if by_range else table
-                yield from _messages(mine, text, kept, buckets, matches, r if by_range else None)
+                yield _run(mine, text, kept, matches, k, r if by_range else None)
 
     return run
 
 
-def _messages(mine: pa.Table, text: str, kept: list[str], buckets: int, matches, part: int | None):
-    uid = uuid.uuid4().int >> 65
-    part = uid if part is None else part
+def _run(mine: pa.Table, text: str, kept: list[str], matches, k: int, part: int | None) -> pa.RecordBatch:
     codes, counts, pieces, n = cut(mine.column(text), matches)
     control, data = pack_values(codes)
     held = pa.table({"control": [control], "data": [data], "counts": [counts.astype("<u4").tobytes()]}, schema=pa.schema([(c, pa.large_binary()) for c in ("control", "data", "counts")]))
-    rows = [(-1, pack_rows(mine.select(kept)), pack_rows(held))]
-    to = np.array([zlib.crc32(p.strip().rstrip(TAIL).encode()) % buckets for p in pieces.to_pylist()], np.int64)
-    order = np.argsort(to, kind="stable")
-    table = pa.table({"piece": pieces, "n": pa.array(n), "code": pa.array(np.arange(len(n)).astype(np.int32))}).take(pa.array(order))
-    edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
-    rows += [(int(to[order[i]]), pack_rows(table.slice(i, j - i)), None) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    for b, content, codes_ in rows:
-        yield pa.record_batch({"bucket": pa.array([b], pa.int32()), "part": pa.array([part], pa.int64()), "uid": pa.array([uid], pa.int64()), "rows": pa.array([content], pa.binary()), "codes": pa.array([codes_], pa.binary())})
+    rows = [pack_rows(mine.select(kept)), pack_rows(held), pack_rows(pa.table({"piece": pieces, "n": pa.array(n)}))]
+    name = hashlib.blake2b(f"{TaskContext.get().partitionId()} {k} {part} ".encode(), digest_size=8)
+    for r in rows:
+        name.update(r)
+    uid = int.from_bytes(name.digest()) >> 1
+    return pa.record_batch({"part": pa.array([uid if part is None else part], pa.int64()), "uid": pa.array([uid], pa.int64()), **{c: pa.array([r], pa.binary()) for c, r in zip(("rows", "codes", "pieces"), rows, strict=True)}})
+
+
+def _messages(buckets: int):
+    """A run's pieces for each bucket, with their numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for part, uid, blob in zip(batch.column("part").to_pylist(), batch.column("uid").to_pylist(), batch.column("pieces"), strict=True):
+                table = unpack_rows(blob).combine_chunks()
+                core = pc.utf8_rtrim(pc.utf8_trim_whitespace(table.column("piece")), characters=TAIL)
+                data, offsets = text_bytes(core)
+                to = (word_keys(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                edge = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to))
+                table = table.take(pa.array(order))
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    step = pa.array(np.diff(order[i:j], prepend=0).astype(np.int32))  # the numbers ascend
+                    rows = pack_rows(table.slice(i, j - i).append_column("step", step))
+                    yield pa.record_batch({"bucket": pa.array([int(to[order[i]])], pa.int32()), "part": pa.array([part], pa.int64()), "uid": pa.array([uid], pa.int64()), "rows": pa.array([rows], pa.binary())})
+
+    return run
 
 
-def _encode(encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]]):
+def _encode(encoder: Callable[[], Callable[[pa.LargeStringArray], tuple[np.ndarray, np.ndarray]]]):
     def run(asked: pa.Table) -> pa.Table:
         tables = [unpack_rows(b) for b in asked.column("rows")]
         every = pa.concat_arrays([_one(t.column("piece")) for t in tables]).dictionary_encode()
         at, count = every.indices.to_numpy(), np.concatenate([t.column("n").to_numpy() for t in tables])
-        ids, ends = encoder()(every.dictionary.to_pylist())
+        ids, ends = encoder()(every.dictionary)
         lengths = np.diff(ends, prepend=0)
         starts = ends - lengths
         # how often each id stands in the corpus
         total = np.bincount(ids, np.repeat(np.bincount(at, count, len(lengths)), lengths)).astype(np.int64)
         some = np.flatnonzero(total)
         out = [(-1, 0, pack_rows(pa.table({"id": pa.array(some, pa.int64()), "n": pa.array(total[some])})))]
-        kind = np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32
+        ids = ids.astype(np.uint16 if not len(ids) or ids.max() < 1 << 16 else np.uint32)
         edge = np.cumsum([0, *(t.num_rows for t in tables)]).tolist()
         for part, uid, t, i, j in zip(asked.column("part").to_pylist(), asked.column("uid").to_pylist(), tables, edge[:-1], edge[1:], strict=True):
             size = lengths[at[i:j]]
-            flat = ids[ragged(starts[at[i:j]], size)].astype(kind)
+            flat = ids[ragged(starts[at[i:j]], size)]
             held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
-            step = np.diff(t.column("code").to_numpy(), prepend=0).astype(np.int32)  # they ascend
-            out.append((part, uid, pack_rows(pa.table({"step": pa.array(step), "ids": held}))))
+            out.append((part, uid, pack_rows(pa.table({"step": t.column("step"), "ids": held}))))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "uid": pa.array([o[1] for o in out], pa.int64()), "rows": pa.array([o[2] for o in out], pa.binary())})
 
     return freed(run)
@@ -233,19 +259,23 @@ def _assemble(rows, codes, answers: list) -> Run:
     return Run(unpack_rows(rows), ids[ragged(start[code], length)].astype("<u4"), upto[np.cumsum(counts)])
 
 
-def asked(docs: DataFrame, encoder, text: str, kept: list[str], pattern: str = public_tokenizers.PATTERN, ranges=None, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(runs, answers): runs is written; answers (part, uid, rows) hold the ids of a run's pieces, and at part -1 counts of ids.
+def cut_runs(docs: DataFrame, text: str, kept: list[str], pattern: str = public_tokenizers.PATTERN, ranges=None) -> DataFrame:
+    """part, uid, rows, codes and pieces of each run. With ranges, a column of numbers, a run's part is its range's number; else its name."""
+    wanted = docs.select(*dict.fromkeys([text, *kept])) if ranges is None else docs.select(*dict.fromkeys([text, *kept]), ranges.cast("bigint").alias("_q_range"))
+    return wanted.mapInArrow(released(_runs(text, kept, pattern, ranges is not None)), "part bigint, uid bigint, rows binary, codes binary, pieces binary")
+
+
+def buckets_of(docs: DataFrame, text: str) -> int:
+    return int(max(16, -(-(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0) // BUCKET_BYTES)))
 
-    encoder() gives a function that turns a list of pieces into all of their ids and the end of each piece's.
-    With ranges, a column of numbers, runs of one range have its number as their part; otherwise each is a part.
+
+def encoded(runs: DataFrame, encoder, buckets: int) -> DataFrame:
+    """(part, uid, rows): the ids of a run's pieces; at part -1 counts of ids.
+
+    encoder() gives a function that turns an array of pieces into all of their ids and the end of each piece's.
     """
-    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    buckets = int(max(16, -(-size // bucket_bytes)))
-    wanted = docs.select(*dict.fromkeys([text, *kept])) if ranges is None else docs.select(*dict.fromkeys([text, *kept]), ranges.cast("bigint").alias("_q_range"))
-    schema = "bucket int, part bigint, uid bigint, rows binary, codes binary"
-    runs = written(wanted.mapInArrow(released(_runs(text, kept, buckets, pattern, ranges is not None)), schema), "piece-runs")
-    messages = runs.where("bucket >= 0").select("bucket", "part", "uid", "rows")
-    return runs, messages.groupBy("bucket").applyInArrow(_encode(encoder), "part bigint, uid bigint, rows binary")
+    messages = runs.mapInArrow(released(_messages(buckets)), "bucket int, part bigint, uid bigint, rows binary")
+    return messages.groupBy("bucket").applyInArrow(_encode(encoder), "part bigint, uid bigint, rows binary")
 
 
 def assembled(runs: DataFrame, answers: DataFrame, finish: Callable[[list[Run], int], pa.Table], schema) -> DataFrame:
@@ -259,5 +289,4 @@ def assembled(runs: DataFrame, answers: DataFrame, finish: Callable[[list[Run],
         uids, content, codes = rows.column("uid").to_pylist(), rows.column("rows"), rows.column("codes")
         return finish([_assemble(content[i], codes[i], by.get(uids[i], [])) for i in order.tolist()], rows.column("part")[0].as_py())
 
-    texts = runs.where("bucket < 0").select("part", "uid", "rows", "codes")
-    return texts.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(freed(run), schema)
+    return runs.groupBy("part").cogroup(answers.where("part >= 0").groupBy("part")).applyInArrow(freed(run), schema)

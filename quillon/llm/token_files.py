@@ -15,7 +15,7 @@ document; u8 whether it is known; u32 values of each document; control bytes; da
 bytes. Table layout: ``QTR2``; u32 id of each rank.
 
 Defined cases: null and empty texts hold the end id alone; rows of equal doc_id
-follow each other in the order of their ids; null doc_ids come first, in blocks of
+follow each other in the order of their ranks; null doc_ids come first, in blocks of
 their own; ids of equal counts rank by number; very long texts are encoded whole;
 extra columns are not written. An empty table gives no blocks but the table of ids.
 """
@@ -31,18 +31,19 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, forget, ranges, released, small_batches, written
-from .pieces import TAIL, Run, asked, assembled, pack_values, unpack_values
+from .pieces import TAIL, Run, assembled, buckets_of, cut_runs, encoded, pack_values, ragged, strings, unpack_values
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Text of one block, and blocks whose tokens are summed together first.
-BLOCK_BYTES, GROUP = 8 << 20, 4096
+BLOCK_BYTES, GROUP = 16 << 20, 4096
 _MAGIC, _TABLE = b"QTF2", b"QTR2"
-_PLAIN = "\u0250"
+_PLAIN = r"^ [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
 
 
 class Encoder:
@@ -61,35 +62,56 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # ids alone, without offsets
 
-    def _words(self, words: list[str]) -> Iterator[list[int]]:
-        """Ids of space-led words of plain letters, encoded as running text and cut where an id begins with a space."""
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._encode(texts)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())), size
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each has, of space-led words of plain letters, encoded as running text and cut where an id begins with a space."""
+        parts = [self._flat([])]
         for i in range(0, len(words), 1000):
             run = words[i : i + 1000]
-            ids = self._encode(["".join(run)])[0]
-            edge = [*np.flatnonzero(self.space[ids]).tolist(), len(ids)]
-            yield from [ids[i:j] for i, j in zip(edge, edge[1:], strict=False)] if len(edge) == len(run) + 1 else self._encode(run)
+            ids = np.array(self._encode(["".join(run)])[0], np.int64)
+            edge = np.append(np.flatnonzero(self.space[ids]), len(ids))
+            parts.append((ids, np.diff(edge)) if len(edge) == len(run) + 1 and not edge[0] else self._flat(run))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, pieces: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and where each piece's ids end.
 
         A word of plain letters and the marks after it are two matches, so such a word is encoded once.
         """
-        plain, other, cut = {}, {}, []
-        for p in pieces:
-            core = p.rstrip(TAIL)
-            if core[:1] == " " and core[1:].isalpha() and (core.isascii() or max(core) < _PLAIN):
-                plain[core] = None
-                tail = p[len(core) :]
-                if tail:
-                    other[tail] = None
-                cut.append((core, tail))
-            else:
-                other[p] = None
-                cut.append((p, ""))
-        ids = dict(zip(plain, self._words(list(plain)), strict=True)) | dict(zip(other, self._encode(list(other)), strict=True)) | {"": []}
-        ends = np.cumsum(np.fromiter((len(ids[c]) + len(ids[t]) for c, t in cut), np.int64, len(cut)))
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable((ids[c], ids[t]) for c, t in cut)), np.int64, int(ends[-1]) if len(ends) else 0)
-        return flat, ends
+        core = pc.utf8_rtrim(pieces, characters=TAIL)
+        plain = pc.match_substring_regex(core, _PLAIN)
+        core = pc.if_else(plain, core, pieces)
+        cores = core.dictionary_encode()
+        word = pc.match_substring_regex(cores.dictionary, _PLAIN).to_numpy(zero_copy_only=False)
+        at = cores.indices.to_numpy()
+        # what follows a core in its piece, by the bytes both have
+        cut = pc.binary_length(core).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        some = np.flatnonzero(whole > cut)
+        tails = pa.array([p[-k:] for p, k in zip(pieces.take(pa.array(some)).to_pylist(), (whole - cut)[some].tolist(), strict=True)], pa.large_string()).dictionary_encode()
+        flat, size = [], np.zeros(len(word), np.int64)
+        for mine, how in ((np.flatnonzero(word), self._words), (np.flatnonzero(~word), self._flat)):
+            ids, n = how(strings(cores.dictionary.take(pa.array(mine))))
+            size[mine] = n
+            flat.append((mine, ids))
+        start = np.zeros(len(word), np.int64)
+        before = 0
+        for mine, ids in flat:
+            start[mine] = before + np.cumsum(size[mine]) - size[mine]
+            before += len(ids)
+        last, many = self._flat(tails.dictionary.to_pylist())
+        every = np.concatenate((*(ids for _, ids in flat), last))
+        # each piece's ids are two runs: its core's and its tail's
+        lengths = np.zeros((len(pieces), 2), np.int64)
+        starts = np.zeros((len(pieces), 2), np.int64)
+        lengths[:, 0], starts[:, 0] = size[at], start[at]
+        of = tails.indices.to_numpy()
+        lengths[some, 1], starts[some, 1] = many[of], (before + np.cumsum(many) - many)[of]
+        return every[ragged(starts.reshape(-1), lengths.reshape(-1))], np.cumsum(lengths.sum(axis=1))
 
 
 _MADE: dict[str, Encoder] = {}
@@ -143,8 +165,8 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOC
     """Write the blocks of docs (doc_id, text) and return them as read back: block, tokens, bytes."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    runs, answers = asked(slim, lambda: encoder(vocabulary).pieces, "text", ["doc_id"], ranges=ranges(slim, "doc_id", "text", block_bytes))
-    answers = written(answers, "piece-ids")
+    runs = written(cut_runs(slim, "text", ["doc_id"], ranges=ranges(slim, "doc_id", "text", block_bytes)), "piece-runs")
+    answers = written(encoded(runs.select("part", "uid", "pieces"), lambda: encoder(vocabulary).pieces, buckets_of(slim, "text")), "piece-ids")
     counts = {r["id"]: r["n"] for r in answers.where("part < 0").mapInArrow(released(_counts), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}  # as many rows as the vocabulary has ids
     counts[END] = counts.get(END, 0) + slim.count()
     table = np.array(sorted(counts, key=lambda i: (-counts[i], i)), np.uint32)
@@ -154,18 +176,18 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOC
 
     def finish(runs: list[Run], block: int) -> pa.Table:
         ids = [d for r in runs for d in r.rows.column("doc_id").to_pylist()]
-        found = [x for r in runs for x in r.texts()]
+        found = [x for r in runs for x in Run(r.rows, rank[r.ids], r.ends).texts()]
         order = sorted(range(len(ids)), key=lambda i: ids[i] or 0)
-        if len(set(ids)) < len(ids):  # rows of equal doc_id: by their ids, which are as long as their texts tell
+        if len(set(ids)) < len(ids):  # rows of equal doc_id
             order.sort(key=lambda i: (ids[i] or 0, found[i].tolist()))
         sizes = np.array([len(found[i]) + 1 for i in order])
-        ranks = np.concatenate([x for i in order for x in (rank[found[i]], end)])
+        ranks = np.concatenate([x for i in order for x in (found[i], end)])
         return pa.table({"block": pa.array([block], pa.int32()), "tokens": pa.array([int(sizes.sum())], pa.int64()), "bytes": pa.array([write_block([ids[i] for i in order], sizes, ranks)], pa.binary())})
 
     schema = "block int, tokens bigint, bytes binary"
-    blocks = assembled(runs, answers, finish, schema)
+    blocks = assembled(runs.select("part", "uid", "rows", "codes"), answers, finish, schema)
     ids = docs.sparkSession.createDataFrame([(-1, 0, _TABLE + table.astype("<u4").tobytes())], schema)
-    out = written(blocks.unionByName(ids), "token-blocks")
+    out = written(blocks.unionByName(ids), "token-blocks", "zstd")
     forget(answers)
     forget(runs)
     return out
