@@ -114,14 +114,19 @@ def unpack_rows(blob) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
-def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
+def pack_values(values: np.ndarray, run: int = 1 << 20) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    parts = [_pack(values[i : i + run]) for i in range(0, len(values), run)]
+    return b"".join(c for c, _ in parts), b"".join(d for _, d in parts)
+
+
+def _pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[: len(values)] = size - 1
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
+    at = np.cumsum(size, dtype=np.int32) - size
+    data = np.zeros(int(at[-1]) + int(size[-1]), np.uint8)
     for k in range(4):
         has = size > k
         data[at[has] + k] = values[has] >> (8 * k) & 0xFF
@@ -132,20 +137,28 @@ def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
+def unpack_values(control: np.ndarray, data: np.ndarray, n: int, run: int = 1 << 18) -> np.ndarray:
     out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = size > k
-        out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    before = 0
+    for i in range(0, len(control), run):
+        part = out[4 * i : 4 * (i + run)]
+        size = LENGTHS[control[i : i + run]].reshape(-1)[: len(part)]
+        at = np.cumsum(size, dtype=np.int64) - size + before
+        for k in range(4):
+            has = size > k
+            part[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
+        before = int(at[-1]) + int(size[-1])
     return out
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of runs of the given starts and lengths, one run after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or starts.max() < 2**31) else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def strings(column: pa.LargeStringArray) -> list[str]:
