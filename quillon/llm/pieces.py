@@ -37,8 +37,8 @@ from .common import freed, released
 from .words import slices, text_bytes, word_keys
 
 #: Text of a run, and of the corpus for each bucket.
-RUN_BYTES = 16 << 20
-BUCKET_BYTES = 48 << 20
+RUN_BYTES = 12 << 20
+BUCKET_BYTES = 24 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
 _MORE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))

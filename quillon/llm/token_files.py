@@ -41,7 +41,7 @@ from .pieces import TAIL, Run, assembled, buckets_of, cut_runs, encoded, pack_va
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Text of one block, and blocks whose tokens are summed together first.
-BLOCK_BYTES, GROUP = 16 << 20, 4096
+BLOCK_BYTES, GROUP = 12 << 20, 4096
 _MAGIC, _TABLE = b"QTF2", b"QTR2"
 _PLAIN = r"^ [A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+$"
 
