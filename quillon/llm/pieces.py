@@ -70,14 +70,14 @@ def cut(column, matches: Callable[[str], list[str]]) -> tuple[np.ndarray, np.nda
     first = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(lists) else np.zeros(1, np.int64)
     counts = np.diff(first)
     held = lists.flatten().dictionary_encode()
-    words, at = held.dictionary, held.indices.to_numpy().astype(np.int64)
+    words, at = held.dictionary, held.indices.to_numpy()
     # a word that is empty or has white space at an end stands beside white space: its text is cut at every match
     bare = pc.binary_length(pc.utf8_trim_whitespace(words)).to_numpy(zero_copy_only=False)
     odd = (bare == 0) | (bare < pc.binary_length(words).to_numpy(zero_copy_only=False))
     strange = np.flatnonzero(np.bincount(np.repeat(np.arange(len(counts)), counts), odd[at], len(counts))) if len(at) else np.zeros(0, np.int64)
-    led = np.ones(len(at), np.int64)
-    led[first[:-1]] = 0
-    key = 2 * at + led
+    key = 2 * at + np.int32(1)  # odd: led by a space
+    key[first[:-1]] -= 1
+    del lists, held, at
     more: dict[str, int] = {}
     if len(strange):
         found = [matches(texts[i].as_py()) for i in strange.tolist()]
@@ -89,14 +89,14 @@ def cut(column, matches: Callable[[str], list[str]]) -> tuple[np.ndarray, np.nda
         counts = counts.copy()
         counts[strange] = [len(f) for f in found]
         starts = np.cumsum(counts) - counts
-        new = np.empty(int(counts.sum()), np.int64)
+        new = np.empty(int(counts.sum()), np.int32)
         new[ragged(starts[usual], counts[usual])] = kept
         new[ragged(starts[strange], counts[strange])] = [base + more.setdefault(m, len(more)) for f in found for m in f]
         key = new
     n = np.bincount(key, minlength=2 * len(words) + len(more))
     used = np.flatnonzero(n)
     used = used[np.argsort(-n[used], kind="stable")]
-    number = np.empty(len(n), np.int64)
+    number = np.empty(len(n), np.int32)
     number[used] = np.arange(len(used))
     every = pa.concat_arrays([words, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), words, pa.scalar("", pa.large_string())), pa.array(list(more), pa.large_string())])
     place = np.where(used < 2 * len(words), used // 2 + (used % 2) * len(words), used)
