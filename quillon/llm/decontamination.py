@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, released
 from .words import LOWER, Rolling, mix, slices, spans, text_bytes, window_starts, word_keys
 
 WINDOW = 5
@@ -238,14 +238,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> Data
     for r in whole.select(high).union(whole.select(low)).distinct().toLocalIterator():  # at most 2**22 numbers, whatever the benchmark
         bits[r["bit"]] = True
     found = docs.select(F.col("doc_id").cast("bigint").alias("_q_id"), F.col("text").alias("_q_text")).where("_q_id is not null and _q_text is not null")
-    hits = found.mapInArrow(_hits(np.packbits(bits).tobytes(), lengths), "hash bigint, doc_id bigint, doc_slots array<string>")
+    hits = found.mapInArrow(released(_hits(np.packbits(bits).tobytes(), lengths)), "hash bigint, doc_id bigint, doc_slots array<string>")
     side = windows.drop("n").distinct()
     if sum(r["c"] for r in known) <= BROADCAST_ROWS:
         side = F.broadcast(side)
     joined = hits.distinct().join(side, "hash")
     held = joined.groupBy("doc_id", "item_id", "total").agg(F.collect_list(F.struct("place", "item_slots", "doc_slots")).alias("windows"))
     held = held.where(F.size(F.array_distinct(F.transform("windows", lambda w: w["place"]))) >= F.col("total") * F.lit(cover))
-    return held.mapInArrow(_judge(cover), "doc_id bigint, item_id bigint, coverage double, changed boolean")
+    return held.mapInArrow(released(_judge(cover)), "doc_id bigint, item_id bigint, coverage double, changed boolean")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

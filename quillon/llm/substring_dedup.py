@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, ranges
+from .common import documents, freed, ranges, released
 from .words import Rolling, slices, spans, text_bytes, window_starts, word_keys
 
 WINDOW = 50
@@ -186,15 +186,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, range_bytes: int = RAN
     base = docs.select(*[F.col(f"`{c}`") for c in passed], F.col("doc_id").cast("bigint").alias("_q_id"), F.col("text").alias("_q_text"))
     slim = base.select("_q_id", "_q_text")
     counts = np.zeros(_BINS, np.int64)
-    for r in slim.mapInArrow(_count_prefixes(window), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in slim.mapInArrow(released(_count_prefixes(window)), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[r["bin"]] = r["n"]
     first, parts, _ = prefix_groups(counts, int(min(group_suffixes, max(1 << 14, counts.sum() // 64))))
     span = ranges(slim, "_q_id", "_q_text", range_bytes)
-    sent = slim.where("_q_id is not null").withColumn("_q_range", span).mapInArrow(_send(window, first, parts), "grp int, chunk int, keys binary")
-    answers = sent.groupBy("grp").applyInArrow(_subtree, "chunk int, keys binary")
+    sent = slim.where("_q_id is not null").withColumn("_q_range", span).mapInArrow(released(_send(window, first, parts)), "grp int, chunk int, keys binary")
+    answers = sent.groupBy("grp").applyInArrow(freed(_subtree), "chunk int, keys binary")
     schema = T.StructType([*docs.schema.fields, T.StructField("_q_n_words", T.LongType()), T.StructField("_q_n_removed", T.LongType()), T.StructField("_q_kept", T.StringType())])
     dealt = base.withColumn("_q_range", span)
-    return dealt.groupBy("_q_range").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, passed), schema)
+    return dealt.groupBy("_q_range").cogroup(answers.groupBy("chunk")).applyInArrow(freed(_remove(window, passed)), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, released
 from .words import slices
 
 SAMPLE_TOXIC = 1500
@@ -45,7 +45,7 @@ SAMPLE_ORDINARY = 4500
 TOXIC_BYTES = 4096
 SHARED_BYTES = 16384
 CARRIER = b" of and the in that "
-CACHE_WINDOWS = 500_000
+CACHE_WINDOWS = 100_000
 #: A beginning of a window is typical of toxic text if chance gives it so many neighbourhoods there less often than this.
 CHANCE = 1e-7
 STEM = range(4, 11)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             values = [made.score(t or "") for t in table.column(text).to_pylist()]
             yield from table.append_column("_q_score", pa.array(values, pa.float64())).to_batches()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_q_score", T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("_q_score", T.DoubleType())]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
