@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import content, retrieval
+from quillon.plans import content, legal, requests, retrieval
 
-_MODULES = [retrieval, content]
+_MODULES = [retrieval, content, requests, legal]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

@@ -61,6 +61,11 @@ def terms(c: Column) -> Column:
     return F.array_distinct(words(F.lower(c)))
 
 
+def term_keys(c: Column) -> Column:
+    """Distinct tokens in lower case as 64-bit keys, which compare faster than strings."""
+    return F.transform(terms(c), lambda w: F.xxhash64(w))
+
+
 def token_count(c: Column) -> Column:
     return F.size(words(c))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as tx
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Last write wins for each property; a null property keeps what was there. Both have key, seq and properties."""
@@ -22,7 +24,7 @@ def connect(edges: DataFrame, src: DataFrame, dst: DataFrame, seq: str = "seq")
 def sequence_edges(articles: DataFrame, doc: str, number: str, seq: str, key: str) -> DataFrame:
     """NEXT and PREV between neighbours in numeric order; articles without number come last, by seq."""
     order = F.coalesce(F.col(number).try_cast("int"), F.lit(100000) + F.col(seq))
-    follow = articles.withColumn("dst", F.lead(key).over(Window.partitionBy(doc).orderBy(order, seq))).where("dst is not null").select(F.col(key).alias("src"), "dst")
+    follow = articles.withColumn("dst", F.lead(key).over(Window.partitionBy(doc).orderBy(order, seq, key))).where("dst is not null").select(F.col(key).alias("src"), "dst")
     return follow.withColumn("type", F.lit("NEXT")).unionByName(follow.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("PREV").alias("type")))
 
 
@@ -60,11 +62,43 @@ def expand(edges: DataFrame, start: DataFrame, depth: int = 1, limit: int = 30)
     return nearest.withColumn("_i", F.row_number().over(over)).where(F.col("_i") <= limit).drop("_i")
 
 
-def evidence(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each (id, article_ids): the union of concepts, comparisons and neighbours of all its articles."""
-    one = ids.select("id", F.explode("article_ids").alias("src")).join(neighbourhood(edges), "src", "left")
+def evidence(ids: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """For each (id, article_ids): the union of concepts, comparisons and neighbours of all its articles; only their edges are read.
+
+    names: (key, name) of concepts; without it a concept's key is its name.
+    """
+    one = ids.select("id", F.explode("article_ids").alias("src"))
+    near = neighbourhood(edges.join(one.select("src").distinct(), "src", "left_semi"))
+    joined = one.join(near, "src", "left")
+    none = F.array().cast("array<string>")
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return one.groupBy("id").agg(merged("concepts").alias("concept_keys"), merged("compares").alias("compare_targets"), merged(F.concat(F.coalesce("next", F.array().cast("array<string>")), F.coalesce("prev", F.array().cast("array<string>")))).alias("neighbours"))
+    out = joined.groupBy("id").agg(F.array_sort(F.collect_set("src")).alias("article_ids"), merged("concepts").alias("concept_keys"), merged("compares").alias("compare_targets"), merged(F.concat(F.coalesce("next", none), F.coalesce("prev", none))).alias("neighbours"))
+    if names is None:
+        return out.withColumn("concept_names", F.col("concept_keys"))
+    told = out.select("id", F.explode("concept_keys").alias("key")).join(names, "key").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("concept_names"))
+    return out.join(told, "id", "left").withColumn("concept_names", F.coalesce("concept_names", none))
+
+
+def build(chunks: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(articles, edges) of chunks (doc, country, version, seq, article, paragraph, ko, en).
+
+    Articles get their ids from country, version, number and paragraph, and one space between words; edges lead from a
+    country to its documents, from those to their articles, along the articles, and to at most so many concepts each.
+    """
+    ko, en = tx.collapse(F.col("ko")), tx.collapse(F.col("en"))
+    key = tx.article_id(F.col("country"), F.col("version"), F.col("article"), F.col("paragraph"), F.col("doc"), F.col("seq"))
+    articles = chunks.select(key.alias("key"), "doc", "country", F.col("article").alias("number"), "paragraph", "seq", ko.alias("text_ko"), en.alias("text_en"))
+    edge = lambda df, src, dst, kind: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type")).distinct()
+    told = articles.withColumn("concept", F.explode(F.slice(tx.concepts(tx.first_text(F.col("text_ko"), F.col("text_en")), fold=True), 1, most))).withColumn("concept", F.concat(F.lit("ko:"), "concept"))
+    out = edge(articles, "country", "doc", "HAS_DOCUMENT").unionByName(edge(articles, "doc", "key", "HAS_ARTICLE")).unionByName(edge(told, "key", "concept", "RELATES_TO_CONCEPT"))
+    return articles, out.unionByName(sequence_edges(articles, "doc", "number", "seq", "key").select("src", "dst", "type").distinct())
+
+
+def save_pairs(matches: DataFrame, top: int = 3) -> DataFrame:
+    """COMPARES_TO edges from each anchor to its best few of each country; matches: anchor_key, country, key, score, place."""
+    over = Window.partitionBy("anchor_key", "country").orderBy("place", "key")
+    kept = matches.withColumn("_i", F.row_number().over(over)).where(F.col("_i") <= top)
+    return kept.groupBy(F.col("anchor_key").alias("src"), F.col("key").alias("dst")).agg(F.max_by("score", "place").alias("score")).withColumn("type", F.lit("COMPARES_TO"))
 
 
 def delete_document(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

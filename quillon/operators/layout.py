@@ -65,8 +65,16 @@ def article_chunks(lines: DataFrame, strict_circled: bool = False) -> DataFrame:
 
 
 def merge_tiny(chunks: DataFrame, most: int = 40) -> DataFrame:
-    """Chunks (doc, seq, article, text) of few letters and no article go to the chunk before them; the first always stays."""
+    """Chunks (doc, seq, article, text, and lang if there) of few letters and no article go to the chunk before them; the first always stays.
+
+    Texts are joined within a language only: a chunk's text is that of its first language, search_text that of all, line by line.
+    """
+    rows = chunks if "lang" in chunks.columns else chunks.withColumn("lang", F.lit(""))
     over = Window.partitionBy("doc").orderBy("seq")
     keep = (F.row_number().over(over) == 1) | (F.length("text") > most) | F.col("article").isNotNull()
-    island = chunks.withColumn("_k", keep).withColumn("island", F.sum(F.col("_k").cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("doc", "island").agg(F.min_by("article", "seq").alias("article"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), " ").alias("text"))
+    island = rows.withColumn("_k", keep).withColumn("island", F.sum(F.col("_k").cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "lang", "text"))).alias("_p")
+    held = island.groupBy("doc", "island").agg(F.min_by("article", "seq").alias("article"), parts)
+    own = F.filter("_p", lambda s: s["lang"].eqNullSafe(F.get("_p", F.lit(0))["lang"]))
+    join = lambda p, by: F.array_join(F.transform(p, lambda s: s["text"]), by)
+    return held.select("doc", "island", "article", join(own, " ").alias("text"), join(F.col("_p"), "\n").alias("search_text"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieve import normalise
+from quillon.functions import text as tx
+
+from .retrieve import jaccard, normalise
 
 
 def graph_score(keys: Column, names: Column, direct: Column, neighbour: Column, country: Column, article: Column) -> Column:
@@ -50,3 +52,39 @@ def rematch(pool: DataFrame, anchor_text: str, country: str, pair_score, top: in
     rows = pool.where(F.col("country") == country).withColumn("raw_score", pair_score(F.lit(anchor_text), F.col("text")))
     best = rows.orderBy(F.desc("raw_score"), "chunk_id").limit(max(1, top)).withColumn("_g", F.lit(0))
     return normalise(best, "raw_score", "display_score", ["_g"]).drop("_g").withColumn("score", F.col("raw_score"))
+
+
+def evidence_score(pairs: DataFrame, evidence: DataFrame, number: str = "number", target: str | None = None) -> DataFrame:
+    """pairs (anchor, chunk_id, country, number) with graph_score, from the evidence (id, article_ids, concept_keys, concept_names, compare_targets, neighbours) of both."""
+    sets = ["article_ids", "concept_keys", "concept_names", "compare_targets", "neighbours"]
+    a = evidence.select(F.col("id").alias("anchor"), *[F.col(c).alias(f"_a_{c}") for c in sets])
+    b = evidence.select(F.col("id").alias("chunk_id"), *[F.col(c).alias(f"_b_{c}") for c in sets])
+    both = pairs.join(a, "anchor", "left").join(b, "chunk_id", "left")
+    count = lambda c: F.coalesce(F.nullif(F.size(F.array_intersect(f"_a_{c}", f"_b_{c}")), F.lit(-1)), F.lit(0))
+    hit = lambda c: F.coalesce(F.arrays_overlap(f"_a_{c}", "_b_article_ids"), F.lit(False))
+    numbers = F.transform("_a_article_ids", lambda i: F.get(F.split(i, ":"), F.lit(2)))
+    same = F.coalesce(F.array_contains(numbers, F.col(number)), F.lit(False))
+    country = F.lit(False) if target is None else F.col("country") == target
+    out = both.withColumn("graph_score", graph_score(count("concept_keys"), count("concept_names"), hit("compare_targets"), hit("neighbours"), country, same))
+    return out.drop(*[f"_{x}_{c}" for x in "ab" for c in sets])
+
+
+def graph_match(anchors: DataFrame, pool: DataFrame, evidence: DataFrame, pair_score=jaccard, prepare=tx.term_keys, query: Column | None = None, limit: int = 80, target: str | None = None, home: str = "KR", weights: tuple[float, float] = (0.75, 0.25)) -> DataFrame:
+    """Every anchor (anchor, text) against the first limit candidates (chunk_id, country, number, text) from abroad, best first.
+
+    A candidate is scored against the anchor's text, or the query where that is empty: pair_score of what prepare makes of
+    both, once for each text. The score is blended with the graph's evidence of the pair; of candidates of one text the
+    best stays. The pool is bounded by limit and travels to the anchors.
+    """
+    abroad = pool.where(~F.col("country").eqNullSafe(home))
+    if target is not None:
+        abroad = abroad.where(F.col("country") == target)
+    held = abroad.orderBy("chunk_id").limit(max(1, limit))
+    said = F.nullif(F.trim("text"), F.lit(""))
+    asked = anchors.select("anchor", prepare(said if query is None else F.coalesce(said, query)).alias("_a"))
+    offered = held.withColumn("_p", prepare(F.col("text"))).withColumn("_text", F.xxhash64("text")).drop("text")
+    both = asked.join(F.broadcast(offered), F.lit(True)).withColumn("re_score", F.coalesce(pair_score(F.col("_a"), F.col("_p")), F.lit(0.0))).drop("_a", "_p")
+    scored = blend(evidence_score(both, evidence, target=target), ["anchor"], weights=weights)
+    once = dedupe_best(scored, ["anchor", "_text"], "final_score", "chunk_id").drop("_text")
+    place = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("final_score"), "chunk_id"))
+    return once.withColumn("place", place)

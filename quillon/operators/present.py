@@ -28,11 +28,6 @@ def country_prompt(items: DataFrame, query: Column, each: int = 350) -> DataFram
     return items.groupBy("country").agg(F.concat(F.lit("Query: "), query, F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda s: s["l"]), "\n")).alias("prompt"))
 
 
-def cache_key(parts: list[Column]) -> Column:
-    """A digest of the parts in order, as canonical text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-
-
 def display_box(boxes: DataFrame, pages: DataFrame, scale: Column, by: str = "page") -> DataFrame:
     """Boxes in pixels, held inside the page; boxes that are nearly the page or thinner than a point go."""
     joined = boxes.join(pages, by)

@@ -1,8 +1,7 @@
 """Hybrid retrieval: dense, lexical and key channels, reciprocal-rank fusion, rerank, normalisation, threshold, top-k.
 
-Everything is keyed by query_id, so one query or a batch of them is the same plan.
-A corpus row is (chunk_id, text, country, article); a query row is (query_id,
-query, vector, articles). Orders are total: ties go to the smaller chunk_id.
+A search is one query: its vector and words are literals, so that the corpus is scanned
+and never joined; results carry its query_id. A corpus row is (chunk_id, text, country, article). Orders are total: ties go to the smaller chunk_id.
 """
 
 from __future__ import annotations
@@ -79,10 +78,10 @@ def threshold(df: DataFrame, score: str, least: float | None, floor: int, by: li
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two arrays without repeats; of two empty ones 0."""
-    both = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - both
-    return F.when(every > 0, both / every).otherwise(0.0)
+    """Similarity of two arrays without repeats; of two empty ones 0. The intersection is bound to a name, so that it is made once."""
+    every = F.size(a) + F.size(b)
+    shared = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda n: F.when(every > n, n / (every - n)).otherwise(0.0))
+    return F.get(shared, F.lit(0))
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -100,19 +99,40 @@ def rerank(df: DataFrame, pair_score, top: int, by: list[str], previous: list[Co
     return scored.withColumn("_i", F.row_number().over(over.orderBy(F.desc("re_score"), "prev"))).where(F.col("_i") <= max(1, top)).drop("_i")
 
 
-def hybrid_search(corpus: DataFrame, vectors: DataFrame, query: str, vector: list[float], articles: list[int], query_id=0, top_k: int = 10, initial: int = 100, least: float | None = None, min_results: int = 1, weights=(0.5, 0.3, 0.2), exact_article: bool = False, sparse_cap: int | None = None) -> DataFrame:
-    """All channels, fused, normalised, thresholded. exact_article restricts every channel to the article and favours keys."""
-    if exact_article:
-        corpus = corpus.where(F.col("article").isin(articles))
+def hybrid_search(
+    corpus: DataFrame, vectors: DataFrame, query: str, vector: list[float], articles: list[int], query_id=0, top_k: int = 10, initial: int = 100, least: float | None = None, min_results: int = 1,
+    weights=(0.5, 0.3, 0.2), exact_article: bool = False, sparse_cap: int | None = None, pair_score=overlap_score, country: str | None = None, source: str | None = None,
+) -> DataFrame:
+    """All channels, fused, reranked, normalised, thresholded.
+
+    exact_article restricts every channel to the article and favours keys; country and source restrict the
+    corpus. The first max(4 * top_k, 50) fused rows are scored as pairs with the query (pair_score; None: the
+    fusion score stays), raw_score is that score and score the same between 0 and 1.
+    """
+    if country is not None or source is not None or exact_article:
+        for name, value in (("country", country), ("source", source)):
+            corpus = corpus if value is None else corpus.where(F.col(name) == value)
+        corpus = corpus.where(F.col("article").isin(articles)) if exact_article else corpus
         vectors = vectors.join(corpus.select("chunk_id"), "chunk_id", "left_semi")
+    if exact_article:
         weights = (0.2, 0.1, 0.7)
     found = dense_channel(vectors, vector, query_id, initial).unionByName(sparse_channel(corpus, query, query_id, initial, sparse_cap))
     if articles:
         found = found.unionByName(keyword_channel(corpus, articles, query_id))
-    fused = fuse(found, weights)
-    scored = normalise(fused, "fusion_score", "score", ["query_id"])
     order = [F.desc("fusion_score"), F.col("first"), F.col("chunk_id")]
-    kept = threshold(scored, "score", least, min_results, ["query_id"], order)
-    over = Window.partitionBy("query_id").orderBy(*order)
-    out = kept.withColumn("position", F.row_number().over(over))
+    fused = fuse(found, weights)
+    if pair_score is None:
+        ranked_ = fused.withColumn("raw_score", F.col("fusion_score")).withColumn("prev", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    else:
+        cap = max(4 * top_k, 50)
+        over = Window.partitionBy("query_id").orderBy(*order)
+        first = fused.withColumn("prev", F.row_number().over(over)).where(F.col("prev") <= cap)
+        # at most cap rows meet the corpus
+        texts = corpus.select("chunk_id", "text").join(F.broadcast(first.select("chunk_id")), "chunk_id", "left_semi")
+        named = first.join(texts, "chunk_id", "left").withColumn("re_score", pair_score(F.lit(query), F.coalesce("text", F.lit("")))).drop("text")
+        ranked_ = named.withColumn("raw_score", F.coalesce("re_score", "fusion_score"))
+    scored = normalise(ranked_, "raw_score", "score", ["query_id"]).withColumn("display_score", F.col("score"))
+    best = [F.desc("raw_score"), F.col("prev")]
+    kept = threshold(scored, "score", least, min_results, ["query_id"], best)
+    out = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
     return out.where(F.col("position") <= top_k) if top_k else out

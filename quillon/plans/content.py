@@ -57,11 +57,6 @@ def f6_keywords(spark, sf):
     return questions(spark, sf).select("id", tx.keywords(F.col("q")).alias("words"))
 
 
-@query("WITH " + _Q + " SELECT id, list_filter(['인간의 존엄', '평등권', '자유권', '기본권'], lambda c: (c = '평등권' AND contains(q, '평등')) OR (c IN ('자유권', '기본권') AND contains(q, '자유'))) AS tags FROM q")
-def g9_concept_tag(spark, sf):
-    return questions(spark, sf).select("id", tx.concepts(F.col("q"), fold=True).alias("tags"))
-
-
 @query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h FROM documents")
 def f7_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.collapse(F.col("text"))).alias("h"))
@@ -78,11 +73,6 @@ def f20_hash_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws("_", "lang", "doc_id", F.substring(F.sha2("text", 256), 1, 8)).alias("file_id"), F.concat(F.lit("book_"), F.substring(F.md5(F.concat_ws("_", "lang", "source", F.col("doc_id").cast("string"))), 1, 8)).alias("book_id"))
 
 
-@query("SELECT o_orderkey AS id, md5(o_orderkey || '|' || o_orderstatus || '|') AS key FROM orders")
-def f21_cache_key(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), present.cache_key([F.col("o_orderkey"), F.col("o_orderstatus"), F.lit(None)]).alias("key"))
-
-
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events")
 def p9_json_coerce(spark, sf):
     m = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
@@ -163,13 +153,6 @@ def a8_continent_stats(spark, sf):
     return j.groupBy(F.col("r_name").alias("continent")).agg(F.count(F.lit(1)).alias("countries"), F.array_sort(F.collect_list("n_name")).alias("names")).withColumn("total_chunks", F.lit(total).cast("bigint"))
 
 
-@query("SELECT n_name AS name, coalesce(r_name, 'Unknown') AS continent FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' WHERE contains(lower(n_name), 'an')")
-def a9_countries(spark, sf):
-    dim = table(spark, sf, "region").where("r_name <> 'ASIA'")
-    n = table(spark, sf, "nation").where(F.lower("n_name").contains("an"))
-    return n.join(F.broadcast(dim), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_name").alias("name"), F.coalesce("r_name", F.lit("Unknown")).alias("continent"))  # 5 regions
-
-
 @query("SELECT p_partkey AS id, (SELECT count(*) FROM part WHERE p_brand = 'Brand#13') AS total FROM part WHERE p_brand = 'Brand#13' ORDER BY p_partkey LIMIT 10 OFFSET 5")
 def p7_catalog_page(spark, sf):
     p = table(spark, sf, "part").where("p_brand = 'Brand#13'")
@@ -230,9 +213,11 @@ def a14_coverage_histogram(spark, sf):
     return cover(spark, sf)
 
 
-@query("WITH " + _COVER + ", r AS (SELECT page, bin, bin - row_number() OVER (PARTITION BY page ORDER BY bin) AS g FROM c WHERE bin % 10 < 7) SELECT page, min(bin) AS first, max(bin) AS last, count(*) AS size FROM r GROUP BY page, g HAVING count(*) >= 2")
+@query("WITH " + _COVER + ", m AS (SELECT page, bin, avg(n) OVER (PARTITION BY page) AS a, n FROM c), r AS (SELECT page, bin, bin - row_number() OVER (PARTITION BY page ORDER BY bin) AS g FROM m WHERE n < a) SELECT page, min(bin) AS first, max(bin) AS last, count(*) AS size FROM r GROUP BY page, g HAVING count(*) >= 2")
 def w8_gap_islands(spark, sf):
-    return layout.islands(cover(spark, sf).where("bin % 10 < 7"), ["page"], "bin")
+    """Runs of bins that are covered less than a page's mean."""
+    mean = F.avg("n").over(Window.partitionBy("page"))
+    return layout.islands(cover(spark, sf).withColumn("_a", mean).where("n < _a").drop("_a", "n"), ["page"], "bin")
 
 
 @query("WITH " + _LINES + """, f AS (SELECT * FROM l WHERE text <> '') SELECT page, round(greatest(least(avg(length(text)) / 40.0, 2.0) - avg((length(text) <= 12)::INT) * 2.0, 0.0), 6) AS quality, sum(length(text))::BIGINT AS chars FROM f GROUP BY page""")
@@ -245,10 +230,12 @@ def a15_ratio(spark, sf):
     return lines(spark, sf).groupBy("doc").agg(F.round(F.avg(F.col("text").rlike("[äöüß]").cast("int")), 6).alias("share"))
 
 
-@query("SELECT doc_id, 'general' AS genre FROM documents WHERE NOT regexp_matches(lower(text), 'algorithm|theorem|proof|function|class|research|study|analysis|hypothesis|character|dialogue|scene|exercise|example|definition')")
+_GENRES = "k(place, genre, word) AS (VALUES " + ", ".join(f"({i}, '{g}', '{w.lower()}')" for i, (g, ws) in enumerate(tx.GENRES.items()) for w in ws) + ")"
+
+
+@query(f"WITH {_GENRES}, n AS (SELECT doc_id, place, genre, count(word) AS n FROM documents JOIN k ON contains(lower(text), word) GROUP BY ALL), b AS (SELECT doc_id, genre FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) = 1) SELECT doc_id, coalesce(genre, 'general') AS genre FROM documents LEFT JOIN b USING (doc_id)")
 def a17_genre(spark, sf):
-    d = table(spark, sf, "documents").where(~F.lower("text").rlike("algorithm|theorem|proof|function|class|research|study|analysis|hypothesis|character|dialogue|scene|exercise|example|definition"))
-    return d.select("doc_id", tx.genre(F.col("text")).alias("genre"))
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(tx.genre(F.col("text")), F.lit("general")).alias("genre"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::INTEGER AS tokens FROM documents")
@@ -262,13 +249,13 @@ def w10_carry_forward(spark, sf):
     return layout.carry_forward(c, ["conv_id"], "turn", F.when(F.col("turn") % 3 == 1, F.concat("role", F.col("turn").cast("string"))), "article").select("conv_id", "turn", "article")
 
 
-_MERGE = """c AS (SELECT conv_id AS doc, turn AS seq, substr(text, 1, 60) AS text, CASE WHEN turn % 4 = 0 THEN 'a' || turn END AS article FROM conversations),
+_MERGE = """c AS (SELECT conv_id AS doc, turn AS seq, text, CASE WHEN turn % 4 = 0 THEN 'a' || turn END AS article FROM conversations),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) = 1 OR length(text) > 40 OR article IS NOT NULL AS keep FROM c), i AS (SELECT *, sum(keep::INT) OVER (PARTITION BY doc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM k)"""
 
 
 @query("WITH " + _MERGE + " SELECT doc, island::BIGINT AS island, arg_min(article, seq) AS article, string_agg(text, ' ' ORDER BY seq) AS text FROM i GROUP BY doc, island".replace("arg_min(article, seq)", "arg_min_null(article, seq)"))
 def a23_tiny_merge(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), F.substring("text", 1, 60).alias("text"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("article"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("seq"), "text", F.when(F.col("turn") % 4 == 0, F.concat(F.lit("a"), F.col("turn").cast("string"))).alias("article"))
     return layout.merge_tiny(c).select("doc", F.col("island").cast("bigint").alias("island"), "article", "text")
 
 
@@ -293,10 +280,14 @@ def c3_article_chunks(spark, sf):
 # ---- chunkers and models of tables: folds, checked by brute force in the tests
 
 
-@query("SELECT doc_id, 0 AS chunk_index, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::INTEGER AS token_count FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) >= 100 AND NOT contains(text, E'\\n\\n')")
+@query('''WITH RECURSIVE p AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM conversations WHERE trim(text) <> ''),
+w AS (SELECT conv_id, i, n, 1 AS g, n AS size FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.i, p.n, CASE WHEN size + p.n <= 512 THEN g ELSE g + 1 END, CASE WHEN size + p.n <= 512 THEN size + p.n ELSE p.n END FROM w JOIN p ON p.conv_id = w.conv_id AND p.i = w.i + 1)
+SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY g) - 1)::INTEGER AS chunk_index, sum(n)::INTEGER AS token_count FROM w GROUP BY conv_id, g HAVING sum(n) >= 100''')
 def c2_basic_chunk(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").contains("\n\n"))
-    return chunk.chunk(d).select("doc_id", "chunk_index", "token_count")
+    """Conversations as documents whose paragraphs are their turns."""
+    t = table(spark, sf, "conversations")
+    held = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    return chunk.chunk(t.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(held, "\n\n").alias("text"))).select("doc_id", "chunk_index", "token_count")
 
 
 @query()
@@ -323,16 +314,21 @@ def s3_html_to_text(spark, sf):
 # ---- presentation and state
 
 
-@query("""WITH p AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents), a AS (SELECT doc_id AS anchor, text FROM documents WHERE doc_id < 5),
-i AS (SELECT anchor, lang, p.text, row_number() OVER (PARTITION BY anchor ORDER BY lang) - 1 AS place FROM a, p WHERE n = 1 AND lang <> 'en')
-SELECT anchor, 'Query: rights' || E'\\n\\n# Doc ' || anchor || E'\\n' || CASE WHEN length(trim(a.text)) > 500 THEN substr(trim(a.text), 1, 500) || '...' ELSE trim(a.text) END || E'\\n\\n' ||
-string_agg(trim('## ' || lang || E'\\n' || CASE WHEN length(trim(i.text)) > 350 THEN substr(trim(i.text), 1, 350) || '...' ELSE trim(i.text) END), E'\\n\\n' ORDER BY place) FILTER (place < 2) || E'\\n\\n(+1)' AS prompt FROM a JOIN i USING (anchor) GROUP BY anchor, a.text""")
+@query("""WITH p AS (SELECT lang, arg_min(text, doc_id) AS text FROM documents WHERE lang <> 'en' GROUP BY lang), i AS (SELECT lang, text, row_number() OVER (ORDER BY lang) - 1 AS place FROM p), b AS (SELECT string_agg(trim('## ' || lang || E'\\n' || CASE WHEN length(trim(text)) > 350 THEN substr(trim(text), 1, 350) || '...' ELSE trim(text) END), E'\\n\\n' ORDER BY place) FILTER (place < 2) AS blocks, count(*) AS n FROM i)
+SELECT doc_id AS anchor, md5('Query: rights' || E'\\n\\n# Doc ' || doc_id || E'\\n' || CASE WHEN length(trim(text)) > 500 THEN substr(trim(text), 1, 500) || '...' ELSE trim(text) END || E'\\n\\n' || blocks || CASE WHEN n > 2 THEN E'\\n\\n(+' || (n - 2) || ')' ELSE '' END) AS prompt FROM documents, b WHERE lang = 'en'""")
 def l1_pair_prompt(spark, sf):
+    """A prompt for every English document, with the first document of each other language."""
     d = table(spark, sf, "documents")
-    anchors = d.where("doc_id < 5").select(F.col("doc_id").alias("anchor"), F.lit("rights").alias("query"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
-    best = d.where("lang <> 'en'").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("n = 1").select(F.col("lang").alias("country"), "text")
-    items = anchors.select("anchor").join(F.broadcast(best), F.lit(True)).withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("country")) - 1)  # a row for each country
-    return present.pair_prompt(items, anchors, 2)
+    anchors = d.where("lang = 'en'").select(F.col("doc_id").alias("anchor"), F.lit("rights").alias("query"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    best = d.where("lang <> 'en'").groupBy(F.col("lang").alias("country")).agg(F.min_by("text", "doc_id").alias("text"))
+    placed = best.withColumn("place", F.row_number().over(Window.orderBy("country")) - 1)  # a row for each language
+    return present.pair_prompt(anchors.select("anchor").join(F.broadcast(placed), F.lit(True)), anchors, 2).select("anchor", F.md5("prompt").alias("prompt"))
+
+
+@query("""SELECT lang AS country, md5('Query: rights' || E'\\n' || string_agg('- ' || CASE WHEN length(trim(source)) > 3 THEN substr(trim(source), 1, 3) || '...' ELSE trim(source) END, E'\\n' ORDER BY doc_id)) AS prompt FROM documents GROUP BY lang""")
+def l2_country_prompt(spark, sf):
+    items = table(spark, sf, "documents").select(F.col("lang").alias("country"), F.col("doc_id").alias("place"), F.col("source").alias("text"))
+    return present.country_prompt(items, F.lit("rights"), 3).select("country", F.md5("prompt").alias("prompt"))
 
 
 @query("""WITH e AS (SELECT user_id AS key, arg_max(event_type, ts) AS payload, max(ts) AS ts FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT key FROM e, n WHERE ts > now - INTERVAL 1800 SECOND""")

@@ -33,8 +33,9 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def question(spark: SparkSession, sf: str) -> tuple[str, list[float]]:
     """The first 8 words of item 0, and vector 0: one row each, read by the driver as a query would be."""
-    item = table(spark, sf, "benchmark").where("item_id = 0").select("text").first()
-    return " ".join(item["text"].split()[:8]), list(table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"])
+    item = table(spark, sf, "benchmark").where("item_id = 0").select(F.lit(0).alias("k"), "text")
+    row = item.join(table(spark, sf, "embeddings").where("vec_id = 0").select(F.lit(0).alias("k"), "embedding"), "k").first()
+    return " ".join(row["text"].split()[:8]), list(row["embedding"])
 
 
 _Q = "q AS (SELECT list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:8] AS w FROM benchmark WHERE item_id = 0), "
@@ -71,11 +72,36 @@ def a1_rrf(spark, sf):
     return retrieve.fuse(found).select("chunk_id", F.round("fusion_score", 9).alias("fusion_score"), "dense_rank", "sparse_rank", "keyword_rank")
 
 
+_R = """f2 AS (SELECT *, row_number() OVER (ORDER BY fusion DESC, first, chunk_id) AS prev FROM f QUALIFY prev <= 50), ja AS (SELECT list_distinct(list_transform(w, lambda x: lower(x))) AS a FROM q),
+jt AS (SELECT f2.*, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS t, a FROM f2 LEFT JOIN documents ON doc_id = chunk_id, ja),
+js AS (SELECT *, len(list_intersect(t, a)) / (len(t) + len(a) - len(list_intersect(t, a)))::DOUBLE AS raw FROM jt),
+n AS (SELECT *, CASE WHEN max(raw) OVER () - min(raw) OVER () < 1e-9 THEN 1.0 ELSE (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) END AS score FROM js) """
+
+
 @query("WITH " + _Q + _D + _S + _K + _U + _F + _N + "SELECT chunk_id, round(fusion, 9) AS fusion_score, round(score, 6) AS score, row_number() OVER (ORDER BY fusion DESC, first, chunk_id)::INTEGER AS position FROM n QUALIFY position <= 10")
+def t3_fused_order(spark, sf):
+    """The search without a pair score."""
+    q, v = question(spark, sf)
+    out = retrieve.hybrid_search(corpus(spark, sf), vectors(spark, sf), q, v, [1, 7], pair_score=None)
+    return out.select("chunk_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("score", 6).alias("score"), "position")
+
+
+@query("WITH " + _Q + _D + _S + _K + _U + _F + _R + "SELECT chunk_id, round(fusion, 9) AS fusion_score, round(raw, 6) AS raw_score, round(score, 6) AS score, row_number() OVER (ORDER BY raw DESC, prev)::INTEGER AS position FROM n QUALIFY position <= 10")
 def r9_hybrid_search(spark, sf):
     q, v = question(spark, sf)
     out = retrieve.hybrid_search(corpus(spark, sf), vectors(spark, sf), q, v, [1, 7])
-    return out.select("chunk_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("score", 6).alias("score"), "position")
+    return out.select("chunk_id", F.round("fusion_score", 9).alias("fusion_score"), F.round("raw_score", 6).alias("raw_score"), F.round("score", 6).alias("score"), "position")
+
+
+_FR = "(SELECT * FROM documents WHERE lang = 'fr' AND source = 'src1')"
+
+
+@query("WITH " + _Q + _D.replace("FROM embeddings)", f"FROM embeddings WHERE vec_id IN (SELECT doc_id FROM {_FR}))") + _S.replace("FROM documents)", f"FROM {_FR})") + _K.replace("FROM documents WHERE", f"FROM {_FR} WHERE") + _U + _F + _R + "SELECT chunk_id, round(raw, 6) AS raw_score, row_number() OVER (ORDER BY raw DESC, prev)::INTEGER AS position FROM n QUALIFY position <= 10")
+def s6_filtered_search(spark, sf):
+    """The search in one country and source."""
+    q, v = question(spark, sf)
+    out = retrieve.hybrid_search(corpus(spark, sf), vectors(spark, sf), q, v, [1, 7], country="fr", source="src1")
+    return out.select("chunk_id", F.round("raw_score", 6).alias("raw_score"), "position")
 
 
 @query("""WITH """ + _Q + """c AS (SELECT * FROM documents WHERE doc_id % 20 + 1 = 7),
@@ -83,7 +109,7 @@ d AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY list_inner_product(
 sp AS (SELECT doc_id AS chunk_id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')), (SELECT list_transform(w, lambda x: lower(x)) FROM q))) AS score FROM c),
 s AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank FROM sp QUALIFY rank < 100),
 k AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM c QUALIFY rank < 10),
-u AS (SELECT 0 AS c, chunk_id, rank, .2 AS w FROM d UNION ALL SELECT 1, chunk_id, rank, .1 FROM s UNION ALL SELECT 2, chunk_id, rank, .7 FROM k), """ + _F + _N + "SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY fusion DESC, first, chunk_id)::INTEGER AS position FROM n QUALIFY position <= 10")
+u AS (SELECT 0 AS c, chunk_id, rank, .2 AS w FROM d UNION ALL SELECT 1, chunk_id, rank, .1 FROM s UNION ALL SELECT 2, chunk_id, rank, .7 FROM k), """ + _F + _R + "SELECT chunk_id, round(score, 6) AS score, row_number() OVER (ORDER BY raw DESC, prev)::INTEGER AS position FROM n QUALIFY position <= 10")
 def r6_exact_article(spark, sf):
     q, v = question(spark, sf)
     return retrieve.hybrid_search(corpus(spark, sf), vectors(spark, sf), q, v, [7], exact_article=True).select("chunk_id", F.round("score", 6).alias("score"), "position")
@@ -114,21 +140,43 @@ def p5_anchor_threshold(spark, sf):
     return kept.withColumn("place", F.row_number().over(over)).where("place <= 5").select("id", "anchor", "place")
 
 
-_PAIR = """a AS (SELECT doc_id AS anchor, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE lang = 'en' AND doc_id < 60),
-p AS (SELECT doc_id AS chunk_id, lang AS country, n_chars, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 80),
-x AS (SELECT anchor, chunk_id, country, len(list_intersect(a.t, p.t)) / (len(a.t) + len(p.t) - len(list_intersect(a.t, p.t)))::DOUBLE AS re_score, (anchor + chunk_id) % 4 AS keys, (anchor * chunk_id) % 5 AS names, (anchor + chunk_id) % 7 = 0 AS direct, chunk_id % 3 = 0 AS near, country = 'fr' AS mine, anchor % 20 = chunk_id % 20 AS same FROM a, p),
-g AS (SELECT *, least(1.0, greatest(0.0, least(keys * 0.12, 0.36) + least(names * 0.08, 0.24) + CASE WHEN direct THEN .28 ELSE 0 END + CASE WHEN near THEN .06 ELSE 0 END + CASE WHEN mine THEN .08 ELSE 0 END + CASE WHEN same THEN .06 ELSE 0 END))::DOUBLE AS graph_score FROM x)"""
+_EVIDENCE = """t0 AS (SELECT conv_id AS id, turn, role, (conv_id // 2) || ':' || conv_id || ':' || turn AS key, conv_id // 2 AS doc, CASE WHEN turn % 5 <> 4 THEN turn ELSE 100000 + turn END AS o FROM conversations),
+nx0 AS (SELECT * FROM (SELECT key AS src, lead(key) OVER (PARTITION BY doc ORDER BY o, turn, key) AS dst FROM t0) WHERE dst IS NOT NULL), nb0 AS (SELECT src, dst FROM nx0 UNION ALL SELECT dst, src FROM nx0),
+cmp AS (SELECT key AS src, (doc || ':' || (id + 1) || ':1') AS dst FROM t0 WHERE id % 2 = 0 AND turn = 1),
+ev AS (SELECT id, list(DISTINCT role) AS ck, list(DISTINCT key) AS ids, list(DISTINCT turn::VARCHAR) AS nums FROM t0 GROUP BY id),
+nb AS (SELECT id, list(DISTINCT dst) AS nb FROM t0 JOIN nb0 ON src = key GROUP BY id), ct AS (SELECT id, list(DISTINCT dst) AS ct FROM t0 JOIN cmp ON src = key GROUP BY id), """
+_PAIR = _EVIDENCE + """a AS (SELECT doc_id AS anchor, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE lang = 'en'),
+p AS (SELECT doc_id AS chunk_id, lang AS country, (doc_id % 20 + 1)::VARCHAR AS number, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE lang <> 'en' ORDER BY doc_id LIMIT 80),
+x AS (SELECT anchor, chunk_id, country, number, CASE WHEN len(a.t) + len(p.t) = 0 THEN 0 ELSE len(list_intersect(a.t, p.t)) / (len(a.t) + len(p.t) - len(list_intersect(a.t, p.t)))::DOUBLE END AS re_score FROM a, p),
+y AS (SELECT x.*, coalesce(len(list_intersect(ea.ck, ef.ck)), 0) AS keys, coalesce(list_has_any(ct.ct, ef.ids), false) AS direct, coalesce(list_has_any(nb.nb, ef.ids), false) AS near, coalesce(list_contains(ea.nums, number), false) AS same
+ FROM x LEFT JOIN ev ea ON ea.id = anchor LEFT JOIN ev ef ON ef.id = chunk_id LEFT JOIN nb ON nb.id = anchor LEFT JOIN ct ON ct.id = anchor),
+g AS (SELECT *, least(1.0, least(keys * 0.12, 0.36) + least(keys * 0.08, 0.24) + CASE WHEN direct THEN .28 ELSE 0 END + CASE WHEN near THEN .06 ELSE 0 END + CASE WHEN same THEN .06 ELSE 0 END)::DOUBLE AS graph_score FROM y)"""
+
+
+def articles(spark, sf):
+    """Turns as articles with ids of three parts; two conversations are one law."""
+    t = table(spark, sf, "conversations")
+    law = F.floor(F.col("conv_id") / 2)
+    return t.select(F.concat_ws(":", law.cast("string"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), law.cast("string").alias("doc"), F.when(F.col("turn") % 5 != 4, F.col("turn").cast("string")).alias("number"), F.col("turn").cast("int").alias("seq"), "role", F.col("conv_id").alias("id"))
+
+
+def evidence(spark, sf):
+    """What the graph knows of each conversation's articles."""
+    t = articles(spark, sf)
+    edge = lambda df, dst, kind: df.select(F.col("key").alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+    compare = edge(t.where("id % 2 = 0 and seq = 1"), F.concat_ws(":", "doc", (F.col("id") + 1).cast("string"), F.lit("1")), "COMPARES_TO")
+    every = graph.sequence_edges(t, "doc", "number", "seq", "key").unionByName(edge(t, F.col("role"), "RELATES_TO_CONCEPT")).unionByName(compare)
+    names = t.select(F.col("role").alias("key"), F.upper("role").alias("name")).distinct()
+    return graph.evidence(t.groupBy("id").agg(F.collect_list("key").alias("article_ids")), every, names)
 
 
 def pairs(spark, sf):
-    """A few anchors against a capped pool, both bounded by the request; the pool travels to the anchors."""
+    """Every English document against a capped pool from abroad, which travels to the anchors, with the graph's evidence of each pair."""
     c = corpus(spark, sf)
-    anchors = c.where("country = 'en' and chunk_id < 60").select(F.col("chunk_id").alias("anchor"), tx.terms(F.col("text")).alias("a"))
-    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", tx.terms(F.col("text")).alias("p"))
+    anchors = c.where("country = 'en'").select(F.col("chunk_id").alias("anchor"), tx.term_keys(F.col("text")).alias("a"))
+    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", F.col("article").cast("string").alias("number"), tx.term_keys(F.col("text")).alias("p"))
     x = anchors.join(F.broadcast(pool), F.lit(True)).withColumn("re_score", retrieve.jaccard(F.col("a"), F.col("p"))).drop("a", "p")  # terms once for each text
-    both = F.col("anchor") + F.col("chunk_id")
-    g = match.graph_score(both % 4, (F.col("anchor") * F.col("chunk_id")) % 5, both % 7 == 0, F.col("chunk_id") % 3 == 0, F.col("country") == "fr", F.col("anchor") % 20 == F.col("chunk_id") % 20)
-    return x.withColumn("graph_score", g)
+    return match.evidence_score(x, evidence(spark, sf))
 
 
 @query("WITH " + _PAIR + " SELECT anchor, chunk_id, round(re_score, 6) AS re_score, round(graph_score, 6) AS graph_score FROM g")
@@ -140,9 +188,9 @@ _BLEND = _PAIR + """, r AS (SELECT *, CASE WHEN max(re_score) OVER w - min(re_sc
  + CASE WHEN max(graph_score) OVER w - min(graph_score) OVER w < 1e-9 THEN 1.0 ELSE (graph_score - min(graph_score) OVER w) / (max(graph_score) OVER w - min(graph_score) OVER w) END * .25 AS final FROM g WINDOW w AS (PARTITION BY anchor))"""
 
 
-@query("WITH " + _BLEND + " SELECT anchor, chunk_id, round(final, 6) AS final_score, round((final - min(final) OVER (PARTITION BY anchor)) / (max(final) OVER (PARTITION BY anchor) - min(final) OVER (PARTITION BY anchor)), 6) AS display_score FROM r")
+@query("WITH " + _BLEND + " SELECT anchor, chunk_id, round(round(final, 9), 6) AS final_score, CASE WHEN max(final) OVER (PARTITION BY anchor) - min(final) OVER (PARTITION BY anchor) < 1e-9 THEN 1.0 ELSE round(round((final - min(final) OVER (PARTITION BY anchor)) / (max(final) OVER (PARTITION BY anchor) - min(final) OVER (PARTITION BY anchor)), 9), 6) END AS display_score FROM r")
 def r13_graph_blend(spark, sf):
-    return match.blend(pairs(spark, sf), ["anchor"]).select("anchor", "chunk_id", F.round("final_score", 6).alias("final_score"), F.round("display_score", 6).alias("display_score"))
+    return match.blend(pairs(spark, sf), ["anchor"]).select("anchor", "chunk_id", F.round(F.round("final_score", 9), 6).alias("final_score"), F.round(F.round("display_score", 9), 6).alias("display_score"))
 
 
 @query("WITH " + _BLEND + """, n AS (SELECT anchor, country, chunk_id, row_number() OVER (PARTITION BY anchor, country ORDER BY round(final, 9) DESC, chunk_id) - 1 AS place, count(*) OVER (PARTITION BY anchor, country) AS total FROM r)
@@ -159,6 +207,18 @@ def w5_compare_topn(spark, sf):
     return b.withColumn("i", F.row_number().over(over)).where("i <= 3").select("anchor", "country", F.col("chunk_id").alias("dst"))
 
 
+@query("WITH " + _BLEND + """, tx AS (SELECT doc_id AS chunk_id, text FROM documents), d AS (SELECT r.anchor, r.chunk_id, round(final, 9) AS final FROM r JOIN tx USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY anchor, text ORDER BY final DESC, chunk_id) = 1)
+SELECT anchor, chunk_id, row_number() OVER (PARTITION BY anchor ORDER BY final DESC, chunk_id)::INTEGER AS place FROM d QUALIFY place <= 5""")
+def j2_graph_match(spark, sf):
+    """The whole matcher: pool, pair score, evidence, blend, once for each text, best five."""
+    c = corpus(spark, sf)
+    pool = c.select("chunk_id", "country", F.col("article").cast("string").alias("number"), "text")
+    anchors = c.where("country = 'en'").select(F.col("chunk_id").alias("anchor"), "text")
+    out = match.graph_match(anchors, pool, evidence(spark, sf), limit=80, home="en")
+    over = Window.partitionBy("anchor").orderBy(F.round("final_score", 9).desc(), "chunk_id")
+    return out.withColumn("place", F.row_number().over(over)).where("place <= 5").select("anchor", "chunk_id", "place")
+
+
 @query("SELECT o_custkey AS cust, o_orderstatus AS status, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY floor(o_totalprice / 10000) DESC, o_orderkey) = 1")
 def a5_dedupe_best(spark, sf):
     o = table(spark, sf, "orders").withColumn("s", F.floor(F.col("o_totalprice") / 10000))
@@ -247,7 +307,7 @@ def g4_by_concept(spark, sf):
 
 def _expand_sql(depth: int) -> str:
     return f"""WITH RECURSIVE {_NEXT.replace('t AS (', 't AS MATERIALIZED (', 1)}, b AS (SELECT src, dst, src || '>' || type || '>' || dst AS edge FROM e UNION ALL SELECT dst, src, src || '>' || type || '>' || dst FROM e),
-w AS (SELECT key AS start, key AS nd, 0 AS hop, []::VARCHAR[] AS path FROM t WHERE turn = 1 AND conv_id % 5 = 0 UNION ALL SELECT start, dst, hop + 1, list_append(path, edge) FROM w JOIN b ON w.nd = b.src WHERE hop < {depth} AND NOT list_contains(path, edge))
+w AS (SELECT key AS start, key AS nd, 0 AS hop, []::VARCHAR[] AS path FROM t WHERE turn = 1 UNION ALL SELECT start, dst, hop + 1, list_append(path, edge) FROM w JOIN b ON w.nd = b.src WHERE hop < {depth} AND NOT list_contains(path, edge))
 SELECT start, nd AS node, min(hop)::INTEGER AS hop FROM w WHERE hop > 0 GROUP BY start, nd QUALIFY row_number() OVER (PARTITION BY start ORDER BY min(hop), nd) <= 30"""
 
 
@@ -255,7 +315,7 @@ def _expand(depth: int):
     def f(spark, sf):
         t = turns(spark, sf)
         e = graph.sequence_edges(t, "doc", "number", "seq", "key")
-        return graph.expand(e, t.where("seq = 1 and doc % 5 = 0").select("key"), depth).select("start", "node", "hop")
+        return graph.expand(e, t.where("seq = 1").select("key"), depth).select("start", "node", "hop")
 
     f.__name__ = f"g5_expand_depth{depth}"
     query(_expand_sql(depth))(f)
