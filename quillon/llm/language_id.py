@@ -1,38 +1,42 @@
 """Language identification by fusing evidence in Bayes' way.
 
 For each text and language l: log P(l | everything) is, up to a constant, the log
-prior of l on the text's host, plus the log likelihood of the declared markup
-language and of the address's language part under l, plus the tempered log
-likelihood of the text's letters. The letters' model is trained on a bounded,
-labelled sample (``SAMPLE`` documents a language, of the smallest hash of doc_id,
+prior of l on the text's host, plus the log likelihoods of the declared markup
+language, of the language part of the address's path and of the address's suffix
+(the host's last label) under l, plus the tempered log likelihood of the text's
+letters. The letters' model is trained on a bounded, labelled sample of every
+labelled language (``SAMPLE`` documents each, of the smallest hash of doc_id,
 held-out documents excluded). All else is counted over all rows by grouped
-aggregation, with the language that the letters alone favour as the stand-in for
-the truth: how often each declared language and address part goes with each
-language, and, hierarchically smoothed, how often each host has each language
-(host, then its domain, then all rows).
+aggregation; a row counts for each language by the share that its letters alone
+give it, so that ambiguous rows count for several: how often each declared
+language, path part and suffix goes with each language, and, hierarchically
+smoothed, how often each host has each language (host, then its domain, then all
+rows).
 
 Defined cases: null and empty texts, missing or unknown declarations, addresses
-and hosts are no evidence, so a row with none gets the overall prior; rows and
-repeated rows are kept one by one; without labelled documents the language is
-null. Ties go to the language first in alphabetical order.
+and hosts are no evidence, so a row with none gets the overall prior; very long
+texts enter whole; rows and repeated rows are kept one by one and count each; an
+empty table gives no rows; without labelled documents the language is null. Ties
+go to the language first in alphabetical order. Extra columns are ignored by the
+query and passed through by ``identify``, which uses names that begin with _q_.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import documents, written
+from .common import documents, released, written
 from .url_filter import host_and_path
 from .words import LOWER, slices, text_bytes
 
 SAMPLE = 1000
-LANGUAGES = 32
 #: Neighbouring letter groups overlap, so their likelihood counts for less; and at most so much in all.
 TEMPER, MOST = 0.3, 60.0
 SMOOTH = 5.0
@@ -53,10 +57,10 @@ def letters(column) -> tuple[np.ndarray, np.ndarray, int]:
 
 def train(rows: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log probability of each letter group in each."""
-    names = sorted({lang for _, lang in rows})
+    names = sorted({lang for lang, _ in rows})
     table = np.full((len(names), 1 << _BITS), 0.1)
     for k, name in enumerate(names):
-        code, _, _ = letters(pa.array([t for t, lang in rows if lang == name], pa.string()))
+        code, _, _ = letters(pa.array([t for lang, t in rows if lang == name], pa.string()))
         table[k] += np.bincount(code, minlength=1 << _BITS)
     return names, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if names else table.astype(np.float32)
 
@@ -66,16 +70,12 @@ def held_out(modulus: int = 5) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """A model of every labelled language from at most ``sample`` of its documents."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = None
-    for name in names:  # each limit keeps sample rows
-        part = known.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return train([])
-    rows = known.where(F.col("lang").isin(names)).join(F.broadcast(ids.distinct()), "doc_id").select("text", "lang").collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # tasks keep sample rows of a language each
+    ids = known.select("doc_id", "lang").withColumn("_i", place).where(F.col("_i") <= sample).select("doc_id").distinct()
+    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id").select("text", "lang").collect()  # sample rows of each language
+    return train(sorted((r["lang"], r["text"]) for r in rows))
 
 
 def _likelihood(table: np.ndarray, passed: list[str]):
@@ -92,52 +92,50 @@ def _likelihood(table: np.ndarray, passed: list[str]):
 
 
 def identify(items: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """items with _q_lang and _q_posterior; items: any columns besides _q_text, _q_declared, _q_address, _q_host, _q_domain."""
+    """items with _q_lang and _q_posterior; items: any columns besides _q_text, _q_declared, _q_address, _q_suffix, _q_host, _q_domain."""
     passed = [c for c in items.columns if c != "_q_text"]
+    used = ["_q_declared", "_q_address", "_q_suffix", "_q_host", "_q_domain"]
     schema = items.drop("_q_text").schema.add("_q_log", ArrayType(DoubleType()))
     if not names:
-        return items.drop("_q_text", "_q_declared", "_q_address", "_q_host", "_q_domain").withColumns({"_q_lang": F.lit(None).cast("string"), "_q_posterior": F.lit(None).cast("double")})
-    told = written(items.mapInArrow(_likelihood(table, passed), schema), "language-evidence")
+        return items.drop("_q_text", *used).withColumns({"_q_lang": F.lit(None).cast("string"), "_q_posterior": F.lit(None).cast("double")})
+    told = written(items.mapInArrow(released(_likelihood(table, passed)), schema), "language-evidence")
     size = len(names)
-    best = F.array_position("_q_log", F.lit(0.0)).cast("int") - 1  # the likeliest is at 0
-    clear = F.size(F.filter("_q_log", lambda x: x > -1.0)) == 1
-    voted = told.where(clear).withColumn("best", best)
-    hot = lambda: [F.count_if(F.col("best") == k).cast("double") for k in range(size)]
-
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isin(names), F.col(c))
-
-    overall = voted.agg(F.array(*hot()).alias("n")).first()["n"] or [0.0] * size
-    prior = (np.array(overall) + 1) / (sum(overall) + size)
+    exps = F.transform("_q_log", F.exp)
+    voted = told.withColumn("_q_e", exps).withColumn("_q_z", F.aggregate("_q_e", F.lit(0.0), lambda a, x: a + x)).withColumn("_q_p", F.transform("_q_e", lambda x: x / F.col("_q_z")))
+    sums = F.array(*[F.sum(F.get("_q_p", F.lit(k))) for k in range(size)])
+    overall = np.array(voted.agg(sums.alias("n")).first()["n"] or [0.0] * size, dtype=float)
+    overall = np.where(np.isnan(overall), 0.0, overall)
+    prior = (overall + 1) / (overall.sum() + size)
+    at = lambda c: F.array_position(F.lit(names), F.col(c)).cast("int") - 1
     tables = {}
-    for c in ("_q_declared", "_q_address"):  # LANGUAGES squared cells at most
+    for c in ("_q_declared", "_q_address"):  # a row for each language
         cells = np.ones((size, size)) * SMOOTH / size
-        for r in voted.groupBy(known(c).alias("v")).agg(F.array(*hot()).alias("n")).where("v is not null").collect():
-            cells[names.index(r["v"])] += r["n"]
-        tables[c] = np.log(cells / cells.sum(axis=0, keepdims=True))
-
-    def log_of(c: str) -> Column:
-        out = F.array(*[F.lit(0.0)] * size)
-        for k, name in enumerate(names):
-            out = F.when(F.col(c) == name, F.array(*[F.lit(float(x)) for x in tables[c][k]])).otherwise(out)
-        return out
-
+        for r in voted.where(F.col(c).isin(names)).groupBy(c).agg(sums.alias("n")).collect():
+            cells[names.index(r[c])] += r["n"]
+        tables[c] = F.from_json(F.lit(json.dumps(np.log(cells / cells.sum(axis=0, keepdims=True)).tolist())), "array<array<double>>")
+    numbers = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    none = numbers([0.0] * size)
+    log_of = lambda c: F.when(at(c) >= 0, F.get(tables[c], at(c))).otherwise(none)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    domain = voted.where("_q_domain is not null").groupBy("_q_domain").agg(F.array(*hot()).alias("domain_n"))
-    host = voted.where("_q_host is not null").groupBy("_q_host", "_q_domain").agg(F.array(*hot()).alias("host_n"))
-    level = F.array(*[F.lit(float(p)) for p in prior])
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    smooth = lambda n, parent: F.zip_with(n, parent, lambda x, p: (x + F.lit(SMOOTH) * p))
-    share = lambda n, parent: F.transform(smooth(n, parent), lambda x: x / (total(n) + F.lit(SMOOTH)))
+    # a suffix's likelihood, smoothed by its share of all rows
+    every = numbers(overall + SMOOTH)
+    suffix = voted.where("_q_suffix is not null").groupBy("_q_suffix").agg(sums.alias("n"))
+    common = total("n") / F.lit(float(max(overall.sum(), 1e-9)))
+    suffix = suffix.select("_q_suffix", F.zip_with("n", every, lambda x, y: F.log((x + F.lit(SMOOTH) * common + 1e-12) / y)).alias("_q_told"))
+    domain = voted.where("_q_domain is not null").groupBy("_q_domain").agg(sums.alias("domain_n"))
+    host = voted.where("_q_host is not null").groupBy("_q_host", "_q_domain").agg(sums.alias("host_n"))
+    level = numbers(prior)
+    share = lambda n, parent: F.zip_with(n, parent, lambda x, p: (x + F.lit(SMOOTH) * p) / (total(n) + F.lit(SMOOTH)))
     priors = host.join(domain, "_q_domain", "left").select("_q_host", F.col("_q_domain").alias("d"), share(F.col("host_n"), F.coalesce(share(F.col("domain_n"), level), level)).alias("p"))
     priors = priors.groupBy("_q_host").agg(F.min_by("p", F.coalesce("d", F.lit(""))).alias("_q_prior"))
-    joined = told.join(priors, "_q_host", "left")
-    log = add(add(F.transform(F.coalesce("_q_prior", level), lambda x: F.log(x)), F.col("_q_log")), add(log_of("_q_declared"), log_of("_q_address")))
+    joined = told.join(priors, "_q_host", "left").join(suffix, "_q_suffix", "left")
+    log = add(add(F.transform(F.coalesce("_q_prior", level), lambda x: F.log(x)), F.col("_q_log")), add(F.coalesce("_q_told", none), add(log_of("_q_declared"), log_of("_q_address"))))
     joined = joined.withColumn("_q_sum", log).withColumn("_q_top", F.array_max("_q_sum"))
-    at = F.array_position("_q_sum", F.col("_q_top")).cast("int") - 1
+    best = F.array_position("_q_sum", F.col("_q_top")).cast("int") - 1
     posterior = 1 / F.aggregate("_q_sum", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_q_top")))
-    out = joined.withColumns({"_q_lang": F.get(F.array(*[F.lit(n) for n in names]), at), "_q_posterior": posterior})
-    return out.drop("_q_log", "_q_sum", "_q_top", "_q_prior", "_q_declared", "_q_address", "_q_host", "_q_domain")
+    out = joined.withColumns({"_q_lang": F.get(F.lit(names), best), "_q_posterior": posterior})
+    return out.drop("_q_log", "_q_sum", "_q_top", "_q_prior", "_q_told", *used)
 
 
 def visible(html: Column) -> Column:
@@ -153,14 +151,15 @@ def from_pages(pages: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     return pages.select(
         F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), visible(F.col("html")).alias("_q_text"), declared.alias("_q_declared"),
-        short(F.regexp_extract(path, r"^/([A-Za-z]{2,3})(?:/|$)", 1)).alias("_q_address"), F.nullif(host, F.lit("")).alias("_q_host"),
+        short(F.regexp_extract(path, r"^/([A-Za-z]{2,3})(?:/|$)", 1)).alias("_q_address"),
+        F.nullif(F.regexp_extract(host, r"\.([^.:0-9]+)(?::\d+)?$", 1), F.lit("")).alias("_q_suffix"), F.nullif(host, F.lit("")).alias("_q_host"),
         F.nullif(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."), F.lit("")).alias("_q_domain"),
     )
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"), F.col("text").alias("_q_text"), none.alias("_q_declared"), none.alias("_q_address"), F.concat(F.lit("source:"), "source").alias("_q_host"), F.lit("source:").alias("_q_domain"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"), F.col("text").alias("_q_text"), none.alias("_q_declared"), none.alias("_q_address"), none.alias("_q_suffix"), F.concat(F.lit("source:"), "source").alias("_q_host"), F.lit("source:").alias("_q_domain"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,21 @@ def test_accuracy_and_evidence(spark):
     assert all(0 < r["_q_posterior"] <= 1 for r in out)
     none, empty = li.learn(d.limit(0))
     assert none == [] and {r["_q_lang"] for r in li.identify(li.from_documents(d), none, empty).collect()} == {None}
+
+
+def test_many_languages_and_the_suffix(spark):
+    """More languages than any cap, an address suffix as the only evidence on a new host, repeated rows and clashing columns."""
+    rng = random.Random(6)
+    spelt = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for k in range(40)}
+    say = lambda lang, n=60: " ".join(rng.choice(spelt[lang]) for _ in range(n))
+    docs = [(i, say(f"l{i % 40:02d}"), f"l{i % 40:02d}", None) for i in range(400)]
+    d = spark.createDataFrame([(*r, "x") for r in docs + docs[:5]], "doc_id long, text string, lang string, source string, _q_lang string")
+    names, table = li.learn(d)
+    assert names == sorted(spelt)
+    out = li.identify(li.from_documents(d), names, table).collect()
+    assert len(out) == 405
+    assert sum(r["_q_lang"] == f"l{r['doc_id'] % 40:02d}" for r in out) >= 403
+    pages = [(i, f"https://h{i}.l0{i % 2}t/p", f"<p>{say(f'l0{i % 2}')}</p>") for i in range(60)] + [(99, "https://new.l01t/", ""), (98, "https://w.l00t/" + "a" * 20000, None)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["_q_lang"] for r in li.identify(li.from_pages(p), names, table).collect()}
+    assert got[99] == "l01" and got[98] == "l00"
