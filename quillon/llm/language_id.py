@@ -152,7 +152,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), visible(F.col("html")).alias("_q_text"), declared.alias("_q_declared"),
         short(F.regexp_extract(path, r"^/([A-Za-z]{2,3})(?:/|$)", 1)).alias("_q_address"),
-        F.nullif(F.regexp_extract(host, r"\.([^.:0-9]+)(?::\d+)?$", 1), F.lit("")).alias("_q_suffix"), F.nullif(host, F.lit("")).alias("_q_host"),
+        F.nullif(F.regexp_extract(host, r"\.([^.:]*[^.:0-9][^.:]*)(?::\d+)?$", 1), F.lit("")).alias("_q_suffix"), F.nullif(host, F.lit("")).alias("_q_host"),
         F.nullif(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."), F.lit("")).alias("_q_domain"),
     )
 
