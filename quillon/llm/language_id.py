@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import documents, released, written
+from .common import documents, forget, released, written
 from .url_filter import host_and_path
 from .words import LOWER, slices, text_bytes
 
@@ -74,7 +74,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # tasks keep sample rows of a language each
     ids = known.select("doc_id", "lang").withColumn("_i", place).where(F.col("_i") <= sample).select("doc_id").distinct()
+    ids = written(ids, "sample-ids")  # its size is known then, so that it is broadcast while it is small
     rows = known.select("doc_id", "text", "lang").join(ids, "doc_id").select("text", "lang").collect()  # sample rows of each language
+    forget(ids)
     return train(sorted((r["lang"], r["text"]) for r in rows))
 
 
