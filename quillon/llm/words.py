@@ -88,8 +88,25 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
+#: Bytes that word_keys holds sums of at once.
+_RUN = 1 << 19
+
+
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word's bytes."""
+    """A 64-bit fingerprint of each word's bytes; starts ascend. It does not depend on where the word stands."""
+    if len(data) <= _RUN or len(starts) < 2:
+        return _word_keys(data, starts, ends)
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _RUN)))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        out[i:j] = _word_keys(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def _word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _BYTES.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
