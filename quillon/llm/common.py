@@ -36,9 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none (tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none and is one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'quillon-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -54,6 +56,23 @@ def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+#: The columns of documents that stages know by name.
+_KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(stage):
+    """A pipeline stage whose further columns, whatever they are called, travel under names of their own."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in _KNOWN else f"further_column_{i}" for i, c in enumerate(docs.columns)}
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = stage(spark, docs.select(*[quoted(c).alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    run.__doc__ = stage.__doc__
+    return run
+
+
 def give_back() -> None:
     """Give the memory that a worker holds but does not use back to the system."""
     gc.collect()

@@ -25,7 +25,9 @@ Defined cases: null and empty texts match nothing; an item of fewer tokens than
 window is one window of its own length if it has ``LEAST`` tokens, and is too
 short to be evidence below that, and if it has too few words outside of placeholders
 only its exact copy is evidence; repeated rows are judged alike, by the union of their
-windows; a null doc_id is kept and never judged; extra columns are passed through.
+windows; a null doc_id is kept and never judged; very long texts are read whole; of values
+equally often in a slot the item's own counts, else the smallest; an empty table gives
+no rows; extra columns are passed through.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, released
+from .common import documents, released, shielded
 from .words import LOWER, Rolling, mix, slices, spans, text_bytes, window_starts, word_keys
 
 WINDOW = 5
@@ -257,6 +259,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"))
 
 
+@shielded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark item."""
     found = matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, released, small_batches, written
+from .common import documents, forget, released, shielded, small_batches, written
 from .words import LOWER, Rolling, mix, slices, spans, text_bytes, word_keys
 
 SHINGLE = 4
@@ -445,6 +445,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_q_id").alias("doc_id"), "n_shingles", "component_id", (F.col("_q_id") == F.col("component_id")).alias("kept"))
 
 
+@shielded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document of the smallest doc_id of each group stays."""
     out = near_duplicates(docs).where("component_id <> _q_id").select(F.col("_q_id").alias("doc_id")).distinct()

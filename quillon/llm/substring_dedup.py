@@ -1,4 +1,4 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by fingerprints of suffixes in prefix groups, in place of suffix trees.
 
 Every word position of every document with at least ``window`` words after it is
 a suffix. A suffix is known by the fingerprints on its path from the root: that
@@ -25,7 +25,9 @@ lands in no single task: it is one leaf for each range.
 Defined cases: null, empty and short texts (under ``window`` words) lose
 nothing; a null text has no words; rows of equal doc_id are judged alike, and
 none counts as smaller than another; a null doc_id takes no part and stays as it
-is (its words are still joined by one space). Extra columns are passed through.
+is (its words are still joined by one space). Very long texts are read whole; equal
+windows within one document are no ties, as only a smaller doc_id removes; an empty
+table gives no rows. Extra columns are passed through.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, freed, ranges, released
+from .common import documents, freed, ranges, released, shielded
 from .words import Rolling, slices, spans, text_bytes, window_starts, word_keys
 
 WINDOW = 50
@@ -202,6 +204,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_q_n_words").alias("n_words"), F.col("_q_n_removed").alias("n_removed"), F.sha2(F.col("_q_kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@shielded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each text without what repeats from a smaller doc_id; other columns stay, n_chars follows the text."""
     out = remove_repeats(docs)

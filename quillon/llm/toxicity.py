@@ -18,7 +18,9 @@ sides share is the common part of both dictionaries, so that it tells nothing. E
 Defined cases: null and empty texts score as a text without windows; a label
 other than 0 or 1 and a null doc_id are no label; of several labels for a
 document toxic counts; without labels of both classes all scores are 0.0;
-a null doc_id is not held out. Rows and extra columns are kept as they are.
+a null doc_id is not held out; very long texts are scored whole; equal scores are
+equal, and of windows of equal distance all count; repeated rows are scored each; an
+empty table gives no rows. Rows and extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, released
+from .common import documents, released, shielded
 from .words import slices
 
 SAMPLE_TOXIC = 1500
@@ -249,6 +251,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@shielded
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score under 0.5; the labels of sf_dir train the model on the stage's own documents."""
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -18,7 +18,8 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower
 case; path: then up to ``?``, ``#`` or the end. Defined cases: null and urls
 without ``://`` have an empty host and path and fit no rule; where no rule fits the
 verdict is ``allow`` and the rule null; of fitting rules the longest key wins, and
-a rule listed as both allows. Extra columns and repeated rows are kept.
+a rule listed as both allows. Extra columns and repeated rows
+are kept; very long urls are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

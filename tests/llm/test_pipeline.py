@@ -69,3 +69,24 @@ def test_pipeline(spark, tmp_path):
         assert got[d]["n_tokens"] == len(ids)
         assert got[d]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Columns of internal names, repeated rows, nulls in every column, one long text, and no rows at all."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", "s", 1, "x", 0.5, "y", i) for i in range(30)]
+    rows += [rows[3], (None, "text without id", None, None, None, None, None, None, None), (40, None, None, None, None, None, None, None, None), (41, " ".join(word() for _ in range(20000)), None, "s", None, "x", None, "y", 2)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _q_text string, _q_score double, `a b` string, component_id long"
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a question that nobody asks here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = {tuple(r) for r in out.collect()}
+        assert kept <= {tuple(r) for r in docs.collect()}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).count() == len(rows)
+    assert last(spark, docs.limit(0), str(tmp_path)).count() == 0
