@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept. Between stages the documents are written to the shared folder and read
 again, so a lost executor costs at most the stage it was in.
+
+Defined cases: those of the stages; further columns, whatever their names, travel
+through all stages but the last; rows of one doc_id stay or go together except where
+only their toxicity differs; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), name)
+        common.forget(before)
     return docs
 
 
