@@ -88,3 +88,19 @@ def graph_match(anchors: DataFrame, pool: DataFrame, evidence: DataFrame, pair_s
     once = dedupe_best(scored, ["anchor", "_text"], "final_score", "chunk_id").drop("_text")
     place = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("final_score"), "chunk_id"))
     return once.withColumn("place", place)
+
+
+def overlap_pairs(anchors: DataFrame, pool: DataFrame) -> DataFrame:
+    """Every anchor (anchor, terms) with every row of the pool (chunk_id, terms, any more) and re_score, the Jaccard similarity of their terms.
+
+    Shared terms are counted by a join on the term, so that pairs without any cost nothing; the pool is bounded by the request.
+    """
+    places = pool.select("chunk_id", F.explode("terms").alias("_t")).groupBy("_t").agg(F.collect_list("chunk_id").alias("_c"))
+    hits = anchors.select("anchor", F.explode("terms").alias("_t")).join(F.broadcast(places), "_t")  # the terms of a bounded pool
+    shared = hits.select("anchor", F.explode("_c").alias("chunk_id")).groupBy("anchor", "chunk_id").agg(F.count(F.lit(1)).alias("_n"))
+    left = anchors.select("anchor", F.size("terms").alias("_a"))
+    right = pool.withColumn("_p", F.size("terms")).drop("terms")
+    both = left.join(F.broadcast(right), F.lit(True)).join(shared, ["anchor", "chunk_id"], "left")
+    n = F.coalesce("_n", F.lit(0))
+    every = F.col("_a") + F.col("_p") - n
+    return both.withColumn("re_score", F.when(every > 0, n / every).otherwise(0.0)).drop("_a", "_p", "_n")

@@ -173,9 +173,9 @@ def evidence(spark, sf):
 def pairs(spark, sf):
     """Every English document against a capped pool from abroad, which travels to the anchors, with the graph's evidence of each pair."""
     c = corpus(spark, sf)
-    anchors = c.where("country = 'en'").select(F.col("chunk_id").alias("anchor"), tx.term_keys(F.col("text")).alias("a"))
-    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", F.col("article").cast("string").alias("number"), tx.term_keys(F.col("text")).alias("p"))
-    x = anchors.join(F.broadcast(pool), F.lit(True)).withColumn("re_score", retrieve.jaccard(F.col("a"), F.col("p"))).drop("a", "p")  # terms once for each text
+    anchors = c.where("country = 'en'").select(F.col("chunk_id").alias("anchor"), tx.term_keys(F.col("text")).alias("terms"))
+    pool = c.where("country <> 'en'").orderBy("chunk_id").limit(80).select("chunk_id", "country", F.col("article").cast("string").alias("number"), tx.term_keys(F.col("text")).alias("terms"))
+    x = match.overlap_pairs(anchors, pool)
     return match.evidence_score(x, evidence(spark, sf))
 
 
