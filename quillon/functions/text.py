@@ -70,8 +70,13 @@ def token_count(c: Column) -> Column:
     return F.size(words(c))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\n\r\v\f"))
+
+
 def truncate(c: Column, limit: int, suffix: str) -> Column:
-    kept = F.trim(F.coalesce(c, F.lit("")))
+    kept = strip(c)
     return F.when(F.length(kept) > limit, F.concat(F.substring(kept, 1, limit), F.lit(suffix))).otherwise(kept)
 
 

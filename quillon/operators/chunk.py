@@ -7,7 +7,8 @@ so a document is all a task holds at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,36 +38,26 @@ def pack(paragraphs: Iterable[str], target: int, least: int, count: Callable[[st
     return out
 
 
-def split_tokens(text: str, target: int, least: int, count: Callable[[str], int]) -> list[tuple[str, int]]:
-    """Like pack, but a paragraph over target is cut at sentence ends, and only the last chunk may be dropped."""
-    out: list[tuple[str, int]] = []
-    held, size = "", 0
+def pieces(text: str, target: int, count: Callable[[str], int]) -> Iterator[tuple[str | None, str, int]]:
+    """(joiner, piece, tokens): whole paragraphs, and the sentences and stops of those over target, which open a chunk (joiner None)."""
+    for p in filter(None, map(str.strip, text.split("\n\n"))):
+        whole = count(p)
+        parts = [("\n\n", p)] if whole <= target else [(None, ""), *(("", s) for s in re.split(r"([.!?]\s+)", p))]
+        yield from ((joiner, s, whole if joiner else count(s)) for joiner, s in parts)
 
-    def close() -> None:
-        if held:
-            out.append((held.strip(), size))
 
-    for p in filter(None, map(str.strip, text.split("\n\n"))):
-        n = count(p)
-        if n <= target:
-            if size + n <= target:
-                held, size = (f"{held}\n\n{p}" if held else p), size + n
-            else:
-                close()
-                held, size = p, n
-            continue
-        close()
-        held, size = "", 0
-        for s in re.split(r"([.!?]\s+)", p):
-            n = count(s)
-            if size + n <= target:
-                held, size = held + s, size + n
-            else:
-                close()
-                held, size = s, n
-    if size >= least:
-        close()
-    return out
+def split_tokens(text: str, target: int, least: int, count: Callable[[str], int]) -> list[tuple[str, int]]:
+    """Like pack, but a paragraph over target is cut at sentence ends, and only the last chunk may be dropped."""
+    made = list(pieces(text, target, count))
+    # (chunk, tokens so far) after each piece; one that does not fit opens the next chunk
+    step = lambda at, x: (at[0], at[1] + x[2]) if x[0] is not None and at[1] + x[2] <= target else (at[0] + 1, x[2])
+    placed = list(accumulate(made, step, initial=(0, 0)))[1:]
+    out = []
+    for _, group in groupby(zip(placed, made, strict=True), key=lambda x: x[0][0]):
+        members = list(group)
+        body = [(joiner or "", s) for _, (joiner, s, _) in members if s]
+        out.append(("".join((joiner if i else "") + s for i, (joiner, s) in enumerate(body)), members[-1][0][1]))
+    return [(c.strip(), n) for i, (c, n) in enumerate(out) if c and (i + 1 < len(out) or n >= least)]
 
 
 def chunk(docs: DataFrame, how: str = "basic", target: int = TARGET, least: int = LEAST, count: Callable[[str], int] = count_words) -> DataFrame:

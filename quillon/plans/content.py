@@ -62,10 +62,12 @@ def f7_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.collapse(F.col("text"))).alias("h"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(text)) > 400 THEN substr(trim(text), 1, 400) || '...[TRUNCATED]' ELSE trim(text) END AS shown, CASE WHEN length(text) > 1000 THEN length(substr(text, 1, 980) || ' ...[truncated]') ELSE length(text) END::INTEGER AS stored FROM documents WHERE text = trim(text, E' \\n\\t')")
+_EDGES = "E' \\t\\n\\r' || chr(11) || chr(12)"
+
+
+@query(f"WITH t AS (SELECT doc_id, text, trim(coalesce(text, ''), {_EDGES}) AS kept FROM documents) SELECT doc_id, CASE WHEN length(kept) > 400 THEN substr(kept, 1, 400) || '...[TRUNCATED]' ELSE kept END AS shown, CASE WHEN length(text) > 1000 THEN length(substr(text, 1, 980) || ' ...[truncated]') ELSE length(text) END::INTEGER AS stored FROM t")
 def f19_truncate(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text") == F.expr("trim(BOTH ' \n\t' FROM text)"))
-    return d.select("doc_id", tx.truncate(F.col("text"), 400, "...[TRUNCATED]").alias("shown"), F.length(tx.fit(F.col("text"), 1000)).alias("stored"))
+    return table(spark, sf, "documents").select("doc_id", tx.truncate(F.col("text"), 400, "...[TRUNCATED]").alias("shown"), F.length(tx.fit(F.col("text"), 1000)).alias("stored"))
 
 
 @query("SELECT doc_id, lang || '_' || doc_id || '_' || substr(sha256(text), 1, 8) AS file_id, 'book_' || substr(md5(lang || '_' || source || '_' || doc_id), 1, 8) AS book_id FROM documents")
@@ -149,14 +151,14 @@ def a4_country_counts(spark, sf):
 @query("SELECT r_name AS continent, count(*) AS countries, list_sort(list(n_name)) AS names, (SELECT count(*) FROM documents) AS total_chunks FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def a8_continent_stats(spark, sf):
     j = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 regions
-    total = table(spark, sf, "documents").count()
-    return j.groupBy(F.col("r_name").alias("continent")).agg(F.count(F.lit(1)).alias("countries"), F.array_sort(F.collect_list("n_name")).alias("names")).withColumn("total_chunks", F.lit(total).cast("bigint"))
+    total = table(spark, sf, "documents").agg(F.count(F.lit(1)))
+    return j.groupBy(F.col("r_name").alias("continent")).agg(F.count(F.lit(1)).alias("countries"), F.array_sort(F.collect_list("n_name")).alias("names")).withColumn("total_chunks", total.scalar())
 
 
 @query("SELECT p_partkey AS id, (SELECT count(*) FROM part WHERE p_brand = 'Brand#13') AS total FROM part WHERE p_brand = 'Brand#13' ORDER BY p_partkey LIMIT 10 OFFSET 5")
 def p7_catalog_page(spark, sf):
     p = table(spark, sf, "part").where("p_brand = 'Brand#13'")
-    return p.orderBy("p_partkey").offset(5).limit(10).select(F.col("p_partkey").alias("id"), F.lit(p.count()).cast("bigint").alias("total"))
+    return p.orderBy("p_partkey").offset(5).limit(10).select(F.col("p_partkey").alias("id"), p.agg(F.count(F.lit(1))).scalar().alias("total"))
 
 
 @query("SELECT l_orderkey AS doc, l_linenumber AS line FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -290,20 +292,40 @@ def c2_basic_chunk(spark, sf):
     return chunk.chunk(t.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(held, "\n\n").alias("text"))).select("doc_id", "chunk_index", "token_count")
 
 
-@query()
+_WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH RECURSIVE a AS (SELECT doc_id, unnest(range(len(string_split(text, E'\n\n')))) AS i, unnest(string_split(text, E'\n\n')) AS raw FROM documents), b AS (SELECT doc_id, i, trim(raw, {_EDGES}) AS para FROM a), c AS (SELECT *, {_WORDS.format("para")} AS n FROM b WHERE para <> ''),
+s AS (SELECT doc_id, i, string_split_regex(para, '[.!?]\s+') AS parts, regexp_extract_all(para, '[.!?]\s+') AS stops FROM c WHERE n > 512), t AS (SELECT doc_id, i, unnest(range(len(parts))) AS j, parts, stops FROM s),
+m AS (SELECT doc_id, i, 0 AS j, true AS piece, n FROM c WHERE n <= 512 UNION ALL SELECT doc_id, i, -1, false, 0 FROM s UNION ALL SELECT doc_id, i, 2 * j, true, {_WORDS.format("parts[j + 1]")} FROM t UNION ALL SELECT doc_id, i, 2 * j + 1, true, {_WORDS.format("stops[j + 1]")} FROM t WHERE j < len(stops)),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos FROM m),
+w AS (SELECT doc_id, pos, n, CASE WHEN piece THEN 0 ELSE 1 END AS g, n AS size FROM p WHERE pos = 1 UNION ALL SELECT p.doc_id, p.pos, p.n, CASE WHEN piece AND size + p.n <= 512 THEN g ELSE g + 1 END, CASE WHEN piece AND size + p.n <= 512 THEN size + p.n ELSE p.n END FROM w JOIN p ON p.doc_id = w.doc_id AND p.pos = w.pos + 1),
+k AS (SELECT doc_id, g, sum(n) AS n, max(g) OVER (PARTITION BY doc_id) AS last FROM w GROUP BY doc_id, g)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INTEGER AS chunk_index, n::INTEGER AS token_count FROM k WHERE n > 0 AND (g < last OR n >= 100)""")
 def c13_token_split(spark, sf):
     return chunk.chunk(table(spark, sf, "documents"), "split").select("doc_id", "chunk_index", "token_count")
 
 
-@query()
+@query(rf"""WITH d AS (SELECT conv_id AS doc_id, string_agg('Chapter ' || turn || E': t\n' || text, E'\n' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+l AS (SELECT doc_id, unnest(range(len(string_split(text, E'\n')))) AS line, unnest(string_split(text, E'\n')) AS text FROM d), h AS (SELECT *, regexp_extract(text, '^(?:Chapter|CHAPTER)\s+(\d+|[IVX]+)(?:[ \t]*[:\-][ \t]*.+)?$', 1) AS chapter, regexp_extract(text, '^(?:Chapter|CHAPTER)\s+(?:\d+|[IVX]+)[ \t]*[:\-][ \t]*(.+)$', 1) AS title FROM l),
+i AS (SELECT *, sum((chapter <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS g FROM h)
+SELECT doc_id, (g - 1)::INTEGER AS place, max(chapter) AS chapter, trim(max(title), {_EDGES}) AS title, trim(coalesce(string_agg(text, E'\n' ORDER BY line) FILTER (chapter = ''), ''), {_EDGES}) AS text FROM i WHERE g > 0 GROUP BY doc_id, g""")
 def c9_chapters(spark, sf):
-    d = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit("Chapter "), s["turn"].cast("string"), F.lit(": t\n"), s["text"])), "\n").alias("text"))
+    d = table(spark, sf, "conversations").where("text is not null").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.concat(F.lit("Chapter "), s["turn"].cast("string"), F.lit(": t\n"), s["text"])), "\n").alias("text"))
     return chunk.chapters(d)
 
 
-@query()
+_ROWS = "CASE WHEN l_quantity >= 20 THEN '| ' || l_linenumber || ' | ' || l_partkey || ' |' WHEN l_tax > 0.02 THEN l_linenumber || '  ' || l_partkey || '  ' || l_suppkey ELSE 'line ' || l_linenumber END"
+
+
+@query(rf"""WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {_ROWS}) - 1 AS line, {_ROWS} AS text FROM lineitem),
+k AS (SELECT doc_id, line, CASE WHEN len(text) - len(replace(text, '|', '')) >= 2 THEN 'bordered' WHEN len(string_split_regex(trim(text), '\s{{2,}}|\t')) >= 3 THEN 'borderless' END AS kind FROM l), i AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id, kind ORDER BY line) AS g FROM k WHERE kind IS NOT NULL)
+SELECT doc_id, min(line)::INTEGER AS first_line, max(line)::INTEGER AS last_line, kind, CASE kind WHEN 'bordered' THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM i GROUP BY doc_id, kind, g HAVING count(*) >= 2""")
 def c14_table_detect(spark, sf):
-    return chunk.detect_tables(table(spark, sf, "documents"))
+    """Orders as documents whose lines are table rows with bars, aligned columns or plain text."""
+    line = F.expr(_ROWS)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("text")))), lambda s: s["text"])
+    return chunk.detect_tables(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(held, "\n").alias("text")))
 
 
 @query()
@@ -334,8 +356,8 @@ def l2_country_prompt(spark, sf):
 @query("""WITH e AS (SELECT user_id AS key, arg_max(event_type, ts) AS payload, max(ts) AS ts FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT key FROM e, n WHERE ts > now - INTERVAL 1800 SECOND""")
 def x2_ttl(spark, sf):
     e = table(spark, sf, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    return streaming.live(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("payload"), "ts"), F.lit(now).cast("timestamp_ntz"), 1800).select("key")
+    now = e.agg(F.max("ts")).scalar()
+    return streaming.live(e.select(F.col("user_id").alias("key"), F.col("event_type").alias("payload"), "ts"), now, 1800).select("key")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
