@@ -8,7 +8,9 @@ histogram tells in which bin that value lies, and the next pass refines that bin
 until a bin is one value wide. A task reports only the bins down to its own kth
 score, as lower ones cannot hold the global one. The last pass keeps the scores
 over the kth value and, of those equal to it, the smallest vec_ids that can still
-be needed, so equal vectors by the million cost a task a few rows.
+be needed, so equal vectors by the million cost a task a few rows. Of more than
+``PLAN_BLOCKS`` blocks each one's answers, k rows a query, are written to the shared
+folder when it is done: a lost executor costs one block, and plans stay small.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows without vec_id; vectors of different lengths have no
@@ -21,6 +23,7 @@ over a vector, stays under 2**53; larger vectors are refused.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -28,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 SCALE = 1024
 TOP = 10
 BINS = 1024
-QUERY_BLOCK = 1024
-_SLICE = 1024
+QUERY_BLOCK = 4096
+_SLICE = 256
+#: With more blocks than this, each block's answers are written as soon as it is searched, so that the plan does not grow with the queries.
+PLAN_BLOCKS = 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -149,11 +156,20 @@ def top_k(vectors: DataFrame, query_filter: str, k: int = TOP) -> DataFrame:
     queries = rows.where(query_filter).groupBy("vec_id").agg(F.min("q").alias("q"))
     blocks = -(-queries.count() // QUERY_BLOCK)
     out = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("bigint").alias("score")).limit(0)
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/quillon-top-k-{uuid.uuid4().hex}" if blocks > PLAN_BLOCKS else None
     for b in range(blocks):
         # the hash deals about QUERY_BLOCK queries to each block
         held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if held:
-            out = out.unionByName(_search(rows, Block(held), k, bound))
+        if not held:
+            continue
+        answers = _search(rows, Block(held), k, bound)
+        if path:
+            best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank").write.mode("append").parquet(path)
+        else:
+            out = out.unionByName(answers)
+    if path:
+        out = rows.sparkSession.read.schema(out.schema).parquet(path)
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

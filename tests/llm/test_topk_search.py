@@ -31,6 +31,8 @@ def test_against_all_scores(spark):
     ts.QUERY_BLOCK, keep = 7, ts.QUERY_BLOCK
     try:
         assert sorted(tuple(r) for r in ts.top_k(frame, "vec_id % 5 = 0", 3).collect()) == brute(rows, 3)
+        ts.QUERY_BLOCK = 3  # so many blocks that their answers are written
+        assert sorted(tuple(r) for r in ts.top_k(frame, "vec_id % 5 = 0", 3).collect()) == brute(rows, 3)
     finally:
         ts.QUERY_BLOCK = keep
     assert ts.top_k(frame.limit(0), "vec_id % 5 = 0").count() == 0
