@@ -41,9 +41,8 @@ RUN_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
-_MORE = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-#: For pieces and their numbers, which are shuffled more than once.
-_MOST = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+#: Compression of pieces and their numbers, which are shuffled more than once.
+LEVEL = 9
 
 
 def matcher(pattern: str = public_tokenizers.PATTERN) -> regex.Pattern:
@@ -105,8 +104,8 @@ def cut(column, matches: Callable[[str], list[str]]) -> tuple[np.ndarray, np.nda
     return number[key], counts, every.take(pa.array(place)), n[used]
 
 
-def pack_rows(table: pa.Table, options: pa.ipc.IpcWriteOptions = _MORE) -> bytes:
-    sink = pa.BufferOutputStream()
+def pack_rows(table: pa.Table, level: int = 3) -> bytes:
+    sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
     with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
@@ -188,7 +187,7 @@ def _run(mine: pa.Table, text: str, kept: list[str], matches, k: int, part: int
     codes, counts, pieces, n = cut(mine.column(text), matches)
     control, data = pack_values(codes)
     held = pa.table({"control": [control], "data": [data], "counts": [counts.astype("<u4").tobytes()]}, schema=pa.schema([(c, pa.large_binary()) for c in ("control", "data", "counts")]))
-    rows = [pack_rows(x, _MOST) for x in (mine.select(kept), held, pa.table({"piece": pieces, "n": pa.array(n)}))]
+    rows = [pack_rows(x, LEVEL) for x in (mine.select(kept), held, pa.table({"piece": pieces, "n": pa.array(n)}))]
     name = hashlib.blake2b(f"{TaskContext.get().partitionId()} {k} {part} ".encode(), digest_size=8)
     for r in rows:
         name.update(r)
@@ -211,7 +210,7 @@ def _messages(buckets: int):
                 table = table.take(pa.array(order))
                 for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     step = pa.array(np.diff(order[i:j], prepend=0).astype(np.int32))  # the numbers ascend
-                    rows = pack_rows(table.slice(i, j - i).append_column("step", step), _MOST)
+                    rows = pack_rows(table.slice(i, j - i).append_column("step", step), LEVEL)
                     yield pa.record_batch({"bucket": pa.array([int(to[order[i]])], pa.int32()), "part": pa.array([part], pa.int64()), "uid": pa.array([uid], pa.int64()), "rows": pa.array([rows], pa.binary())})
 
     return run
@@ -235,7 +234,7 @@ def _encode(encoder: Callable[[], Callable[[pa.LargeStringArray], tuple[np.ndarr
             size = lengths[at[i:j]]
             flat = ids[ragged(starts[at[i:j]], size)]
             held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
-            out.append((part, uid, pack_rows(pa.table({"step": t.column("step"), "ids": held}), _MOST)))
+            out.append((part, uid, pack_rows(pa.table({"step": t.column("step"), "ids": held}), LEVEL)))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "uid": pa.array([o[1] for o in out], pa.int64()), "rows": pa.array([o[2] for o in out], pa.binary())})
 
     return freed(run)
