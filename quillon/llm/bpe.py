@@ -35,6 +35,8 @@ from .common import documents, released, small_batches
 from .pieces import Run, assembled, buckets_of, cut, cut_runs, encoded, matcher, ragged, strings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Runs and pieces are shuffled more than once, so they are packed more tightly than elsewhere.
+PACK_LEVEL = 9
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,8 +160,8 @@ def codec(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> M
 def _encoded(docs: DataFrame, finish: Callable, schema, vocabulary: str, pattern: str, text: str, kept: list[str]) -> DataFrame:
     small_batches(docs.sparkSession)
     # both of its uses read one exchange of the runs
-    runs = cut_runs(docs, text, kept, pattern).repartition("part")
-    return assembled(runs, encoded(runs, lambda: codec(vocabulary, pattern).pieces, buckets_of(docs, text)), finish, schema)
+    runs = cut_runs(docs, text, kept, pattern, level=PACK_LEVEL).repartition("part")
+    return assembled(runs, encoded(runs, lambda: codec(vocabulary, pattern).pieces, buckets_of(docs, text), PACK_LEVEL), finish, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:

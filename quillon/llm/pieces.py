@@ -41,8 +41,8 @@ RUN_BYTES = 12 << 20
 BUCKET_BYTES = 24 << 20
 #: Marks that end a piece as a match of their own.
 TAIL = ".,;:!?)"
-#: Compression of pieces and their numbers, which are shuffled more than once.
-LEVEL = 9
+#: Default level at which rows are packed.
+LEVEL = 3
 
 
 def matcher(pattern: str = public_tokenizers.PATTERN) -> regex.Pattern:
@@ -104,7 +104,7 @@ def cut(column, matches: Callable[[str], list[str]]) -> tuple[np.ndarray, np.nda
     return number[key], counts, every.take(pa.array(place)), n[used]
 
 
-def pack_rows(table: pa.Table, level: int = 3) -> bytes:
+def pack_rows(table: pa.Table, level: int = LEVEL) -> bytes:
     sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
     with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         out.write_table(table)
@@ -171,23 +171,23 @@ def strings(column: pa.LargeStringArray) -> list[str]:
     return out if len(out) == len(column) else column.to_pylist()
 
 
-def _runs(text: str, kept: list[str], pattern: str, by_range: bool):
+def _runs(text: str, kept: list[str], pattern: str, by_range: bool, level: int):
     def run(batches):
         matches = matcher(pattern).findall
         for k, table in enumerate(slices(batches, RUN_BYTES, text)):
             of = table.column("_q_range").to_numpy() if by_range else np.zeros(table.num_rows)
             for r in np.unique(of).tolist():
                 mine = table.filter(pa.array(of == r)) if by_range else table
-                yield _run(mine, text, kept, matches, k, r if by_range else None)
+                yield _run(mine, text, kept, matches, k, r if by_range else None, level)
 
     return run
 
 
-def _run(mine: pa.Table, text: str, kept: list[str], matches, k: int, part: int | None) -> pa.RecordBatch:
+def _run(mine: pa.Table, text: str, kept: list[str], matches, k: int, part: int | None, level: int) -> pa.RecordBatch:
     codes, counts, pieces, n = cut(mine.column(text), matches)
     control, data = pack_values(codes)
     held = pa.table({"control": [control], "data": [data], "counts": [counts.astype("<u4").tobytes()]}, schema=pa.schema([(c, pa.large_binary()) for c in ("control", "data", "counts")]))
-    rows = [pack_rows(x, LEVEL) for x in (mine.select(kept), held, pa.table({"piece": pieces, "n": pa.array(n)}))]
+    rows = [pack_rows(x, level) for x in (mine.select(kept), held, pa.table({"piece": pieces, "n": pa.array(n)}))]
     name = hashlib.blake2b(f"{TaskContext.get().partitionId()} {k} {part} ".encode(), digest_size=8)
     for r in rows:
         name.update(r)
@@ -195,7 +195,7 @@ def _run(mine: pa.Table, text: str, kept: list[str], matches, k: int, part: int
     return pa.record_batch({"part": pa.array([uid if part is None else part], pa.int64()), "uid": pa.array([uid], pa.int64()), **{c: pa.array([r], pa.binary()) for c, r in zip(("rows", "codes", "pieces"), rows, strict=True)}})
 
 
-def _messages(buckets: int):
+def _messages(buckets: int, level: int):
     """A run's pieces for each bucket, with their numbers."""
 
     def run(batches):
@@ -210,13 +210,13 @@ def _messages(buckets: int):
                 table = table.take(pa.array(order))
                 for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     step = pa.array(np.diff(order[i:j], prepend=0).astype(np.int32))  # the numbers ascend
-                    rows = pack_rows(table.slice(i, j - i).append_column("step", step), LEVEL)
+                    rows = pack_rows(table.slice(i, j - i).append_column("step", step), level)
                     yield pa.record_batch({"bucket": pa.array([int(to[order[i]])], pa.int32()), "part": pa.array([part], pa.int64()), "uid": pa.array([uid], pa.int64()), "rows": pa.array([rows], pa.binary())})
 
     return run
 
 
-def _encode(encoder: Callable[[], Callable[[pa.LargeStringArray], tuple[np.ndarray, np.ndarray]]]):
+def _encode(encoder: Callable[[], Callable[[pa.LargeStringArray], tuple[np.ndarray, np.ndarray]]], level: int):
     def run(asked: pa.Table) -> pa.Table:
         tables = [unpack_rows(b) for b in asked.column("rows")]
         every = pa.concat_arrays([_one(t.column("piece")) for t in tables]).dictionary_encode()
@@ -234,7 +234,7 @@ def _encode(encoder: Callable[[], Callable[[pa.LargeStringArray], tuple[np.ndarr
             size = lengths[at[i:j]]
             flat = ids[ragged(starts[at[i:j]], size)]
             held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat))
-            out.append((part, uid, pack_rows(pa.table({"step": t.column("step"), "ids": held}), LEVEL)))
+            out.append((part, uid, pack_rows(pa.table({"step": t.column("step"), "ids": held}), level)))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int64()), "uid": pa.array([o[1] for o in out], pa.int64()), "rows": pa.array([o[2] for o in out], pa.binary())})
 
     return freed(run)
@@ -273,23 +273,23 @@ def _assemble(rows, codes, answers: list) -> Run:
     return Run(unpack_rows(rows), ids[ragged(start[code], length)].astype("<u4"), upto[np.cumsum(counts)])
 
 
-def cut_runs(docs: DataFrame, text: str, kept: list[str], pattern: str = public_tokenizers.PATTERN, ranges=None) -> DataFrame:
+def cut_runs(docs: DataFrame, text: str, kept: list[str], pattern: str = public_tokenizers.PATTERN, ranges=None, level: int = LEVEL) -> DataFrame:
     """part, uid, rows, codes and pieces of each run. With ranges, a column of numbers, a run's part is its range's number; else its name."""
     wanted = docs.select(*dict.fromkeys([text, *kept])) if ranges is None else docs.select(*dict.fromkeys([text, *kept]), ranges.cast("bigint").alias("_q_range"))
-    return wanted.mapInArrow(released(_runs(text, kept, pattern, ranges is not None)), "part bigint, uid bigint, rows binary, codes binary, pieces binary")
+    return wanted.mapInArrow(released(_runs(text, kept, pattern, ranges is not None, level)), "part bigint, uid bigint, rows binary, codes binary, pieces binary")
 
 
 def buckets_of(docs: DataFrame, text: str) -> int:
     return int(max(16, -(-(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0) // BUCKET_BYTES)))
 
 
-def encoded(runs: DataFrame, encoder, buckets: int) -> DataFrame:
+def encoded(runs: DataFrame, encoder, buckets: int, level: int = LEVEL) -> DataFrame:
     """(part, uid, rows): the ids of a run's pieces; at part -1 counts of ids.
 
     encoder() gives a function that turns an array of pieces into all of their ids and the end of each piece's.
     """
-    messages = runs.mapInArrow(released(_messages(buckets)), "bucket int, part bigint, uid bigint, rows binary")
-    return messages.groupBy("bucket").applyInArrow(_encode(encoder), "part bigint, uid bigint, rows binary")
+    messages = runs.mapInArrow(released(_messages(buckets, level)), "bucket int, part bigint, uid bigint, rows binary")
+    return messages.groupBy("bucket").applyInArrow(_encode(encoder, level), "part bigint, uid bigint, rows binary")
 
 
 def assembled(runs: DataFrame, answers: DataFrame, finish: Callable[[list[Run], int], pa.Table], schema) -> DataFrame:
