@@ -115,14 +115,17 @@ def column_gap(bins: DataFrame, by: list[str], size: int = 60, first: int = 12,
 
     A gap needs two bins and a tenth of the coverage on each side; of equal ones the first counts. mid is a share of the width.
     """
-    total = F.sum("n").over(Window.partitionBy(*by))
-    marked = bins.withColumn("_t", total)
+    page = Window.partitionBy(*by)
+    placed = F.when(F.col("bin").isNotNull(), F.col("n"))
+    upto = F.sum(placed).over(page.orderBy("bin").rangeBetween(Window.unboundedPreceding, 0))
+    marked = bins.where(" and ".join(f"`{c}` is not null" for c in by)).withColumns({"_t": F.sum("n").over(page), "_s": F.sum(placed).over(page), "_u": upto, "_n": F.sum("n").over(page.orderBy("bin").rangeBetween(0, 0))})
     middle = marked.where((F.col("bin") >= first) & (F.col("bin") <= last) & (F.col("n") <= F.col("_t") * 0.05))
-    run = F.col("bin") - F.row_number().over(Window.partitionBy(*by).orderBy("bin"))
-    gaps = middle.withColumn("_r", run).groupBy(*by, "_r").agg(F.min("bin").alias("g0"), F.max("bin").alias("g1")).where("g1 > g0")
-    best = gaps.groupBy(*by).agg(F.max(F.struct((F.col("g1") - F.col("g0")).alias("w"), (-F.col("g0")).alias("first"), "g1")).alias("b")).select(*by, (-F.col("b.first")).alias("g0"), F.col("b.g1").alias("g1"))
-    sides = marked.join(best, by).groupBy(*by, "g0", "g1").agg(F.sum(F.when(F.col("bin") < F.col("g0"), F.col("n")).otherwise(0)).alias("l"), F.sum(F.when(F.col("bin") > F.col("g1"), F.col("n")).otherwise(0)).alias("r"), F.sum("n").alias("t"))
-    return sides.where("t > 0 and l / t >= 0.1 and r / t >= 0.1").select(*by, "g0", "g1", ((F.col("g0") + F.col("g1") + 1) / 2.0 / size).alias("mid"))
+    run = F.col("bin") - F.row_number().over(page.orderBy("bin"))
+    # what lies left and right of a run goes along with it, so that nothing is joined back
+    gap = F.struct((F.max("bin") - F.min("bin")).alias("w"), (-F.min("bin")).alias("first"), F.max("bin").alias("g1"), F.min_by(F.col("_u") - F.col("_n"), "bin").alias("l"), F.max_by(F.col("_s") - F.col("_u"), "bin").alias("r"), F.max("_t").alias("t"))
+    best = middle.withColumn("_r", run).groupBy(*by, "_r").agg(gap.alias("_g")).where("_g.w > 0").groupBy(*by).agg(F.max("_g").alias("b"))
+    g0 = -F.col("b.first")
+    return best.where("b.t > 0 and b.l / b.t >= 0.1 and b.r / b.t >= 0.1").select(*by, g0.alias("g0"), F.col("b.g1").alias("g1"), ((g0 + F.col("b.g1") + 1) / 2.0 / size).alias("mid"))
 
 
 def header_box(heads: DataFrame, bodies: DataFrame, by: list[str]) -> DataFrame:
