@@ -129,12 +129,16 @@ def column_gap(bins: DataFrame, by: list[str], size: int = 60, first: int = 12,
 
 
 def header_box(heads: DataFrame, bodies: DataFrame, by: list[str]) -> DataFrame:
-    """Of the boxes of an article's number the one that is its header: near above the body, else in the upper half, else topmost."""
+    """Of the boxes of an article's number the one that is its header: near above the body, else in the upper half, else topmost.
+
+    Of boxes as near as each other the left one counts, then the upper one; what is null comes last.
+    """
     joined = heads.join(bodies.select(*by, F.col("y0").alias("_b"), "height"), by)
     gap = F.col("_b") - F.col("y1")
     tier = F.when((gap >= -5) & (gap <= 30), 0).when((gap >= -5) & (gap <= 50), 1).when(gap >= -5, 2).when(F.col("y0") < F.col("height") / 2, 3).otherwise(4)
     near = F.when(tier <= 2, F.abs(gap)).otherwise(F.col("y0"))
-    best = F.min_by(F.struct(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), F.struct(tier.alias("t"), near.alias("d"), F.col("x0").alias("x"))).alias("b")
+    order = F.struct(*[c for k in (tier, near, *map(F.col, ("x0", "y0", "x1", "y1"))) for c in (k.isNull(), k)])
+    best = F.min_by(F.struct(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]), order).alias("b")
     return joined.groupBy(*by).agg(best).select(*by, "b.*")
 
 
