@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,12 +117,29 @@ def book(pages: list[tuple[int, str]], target: int = TARGET, least: int = LEAST,
 def book_chunks(pages: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFrame:
     """(doc_id, place, kind, heading, text) of pages (doc_id, page, text): as books, or packed paragraphs of each page where that gives nothing.
 
-    A book's pages meet in one task, as a chapter runs over pages.
+    A book's pages meet in one task, as a chapter runs over pages. Tasks read their books one after the other from rows
+    sorted by book, so that a book costs no call of its own and a task holds one book besides a batch.
     """
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((int(p), t or "") for p, t in zip(df["page"], df["text"], strict=True))
+    def chunks(doc, held: list[tuple[int, str]]) -> list[tuple]:
+        rows = sorted(held)
         made = book(rows, target, least) or [("basic", str(p), c) for p, t in rows for c, _ in chunk.pack(filter(None, map(str.strip, re.split(r"\n\n+", t))), target, least, chunk.count_words)]
-        return pd.DataFrame([(df["doc_id"].iloc[0], i, *m) for i, m in enumerate(made)], columns=["doc_id", "place", "kind", "heading", "text"])
-
-    return pages.where("doc_id is not null").groupBy("doc_id").applyInPandas(run, "doc_id bigint, place int, kind string, heading string, text string")
+        return [(doc, i, *m) for i, m in enumerate(made)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda out: pd.DataFrame(out, columns=["doc_id", "place", "kind", "heading", "text"])
+        doc, held = None, []
+        for batch in batches:
+            out = []
+            for d, p, t in zip(batch["doc_id"], batch["page"], batch["text"], strict=True):
+                if held and d != doc:
+                    out += chunks(doc, held)
+                    held = []
+                doc = d
+                held.append((int(p), t or ""))
+            yield frame(out)
+        if held:
+            yield frame(chunks(doc, held))
+
+    rows = pages.where("doc_id is not null").select("doc_id", "page", "text").repartition("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInPandas(run, "doc_id bigint, place int, kind string, heading string, text string")
